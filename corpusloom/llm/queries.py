@@ -5,17 +5,58 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusloom.llm import sentences
+from corpusloom.llm import packing, sentences, tokenizer
 from corpusloom.sources.tables import spread, table
 
+CONTAINER_TOKENS = 2048
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The ids of each document in byte_bpe_50k."""
+    return tokenizer.encode_texts(_texts(spark, d))
+
+
+def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose ids don't decode to their text: none."""
+    docs = _texts(spark, d)
+    back = tokenizer.decode_ids(tokenizer.encode_texts(docs)).select("doc_id", F.xxhash64("text").alias("h"))
+    return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).exceptAll(back).select("doc_id")
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    docs = _texts(spark, d).filter("text IS NOT NULL AND text != ''")
+    return packing.pack(tokenizer.token_counts(docs), CONTAINER_TOKENS)
+
+
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's pieces and the containers of 2,048 tokens that hold them."""
+    start = F.col("piece").cast("bigint") * CONTAINER_TOKENS
+    return _packed(spark, d).select(
+        F.col("container").alias("container_id"), F.col("item_id").alias("doc_id"), "piece", start.alias("token_start"), (start + F.col("size")).alias("token_end"), F.col("size").alias("tokens")
+    )
+
+
+def p9_certificates(spark: SparkSession, d: str) -> DataFrame:
+    """What certifies the container count of each packing."""
+    return packing.certificates(_packed(spark, d))
+
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return sentences.sentence_units(spread(docs))
+    """The sentence units of every document."""
+    return sentences.sentence_units(_texts(spark, d))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p8_ids": p8_ids,
+    "p8_roundtrip": p8_roundtrip,
+    "p9_containers": p9_containers,
+    "p9_certificates": p9_certificates,
     "p10_found": p10_found,
 }
 SQL: dict[str, str] = {}
