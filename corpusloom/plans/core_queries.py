@@ -5,9 +5,64 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from corpusloom.operators import hierarchy, orphans
+from corpusloom.sources.tables import table
+
+
+def _hierarchy(spark: SparkSession, d: str) -> hierarchy.Hierarchy:
+    return hierarchy.Hierarchy(hierarchy.both_kinds(table(spark, d, "runs"), table(spark, d, "llm_calls")))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Root and depth of every node whose parent field isn't blank."""
+    h = _hierarchy(spark, d)
+    child = h.links.filter("parent IS NOT NULL").select("node")
+    return hierarchy.kind_and_id(h.roots().join(child, "node")).select("node_kind", "node_id", F.expr("substring(root, 3)").alias("root_id"), "depth")
+
+
+def p3_hierarchy(spark: SparkSession, d: str) -> DataFrame:
+    """Path, depth, root and the interval of descendants of every node under a root."""
+    h = hierarchy.kind_and_id(_hierarchy(spark, d).labelled())
+    return h.select(
+        "node_kind", "node_id", F.expr("substring(root, 3)").alias("root_id"), "depth", F.array_join(F.transform("path", lambda x: F.substring(x, 3, 1 << 30)), "/").alias("path"), (F.col("size") - 1).alias("descendants"), "first", "last"
+    )
+
+
+def p3_cycles(spark: SparkSession, d: str) -> DataFrame:
+    """The nodes on cycles."""
+    return hierarchy.kind_and_id(_hierarchy(spark, d).cycles()).select("node_kind", "node_id", F.expr("substring(cycle_id, 3)").alias("cycle_id"), "length")
+
+
+def _references(spark: SparkSession, d: str) -> DataFrame:
+    to = {"run_id": "runs", "trace_id": "llm_calls"}
+    return orphans.references(table(spark, d, "artifacts"), "artifacts", "artifact_id", to).unionByName(orphans.references(table(spark, d, "retrieval_events"), "retrieval_events", "retrieval_id", to))
+
+
+def _parents(spark: SparkSession, d: str) -> DataFrame:
+    rows = orphans.parent_times(table(spark, d, "runs"), "runs", "run_id").unionByName(orphans.parent_times(table(spark, d, "llm_calls"), "llm_calls", "trace_id"))
+    return orphans._parents(rows.unionByName(orphans.deletions(table(spark, d, "prune_log"))))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every orphan reference."""
+    return orphans.orphan_references(_references(spark, d), _parents(spark, d)).select("table_name", "record_id", "field", "reason", "period")
+
+
+def p4_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """Orphans per table, field, reason and month."""
+    return orphans.OrphanState.first(_references(spark, d), _parents(spark, d)).snapshot()
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     raise NotImplementedError
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_found": p3_found,
+    "p3_hierarchy": p3_hierarchy,
+    "p3_cycles": p3_cycles,
+    "p4_found": p4_found,
+    "p4_snapshot": p4_snapshot,
+}

@@ -2,4 +2,46 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+_LINKS = """
+links AS (
+  SELECT 'run' AS node_kind, lower(trim(run_id)) AS id, nullif(lower(trim(arg_max(coalesce(parent_run_id, ''), ingested_at))), '') AS parent FROM runs WHERE trim(run_id) <> '' GROUP BY 1, 2
+  UNION ALL
+  SELECT 'call', lower(trim(trace_id)), nullif(lower(trim(arg_max(coalesce(parent_trace_id, ''), ingested_at))), '') FROM llm_calls WHERE trim(trace_id) <> '' GROUP BY 1, 2
+),
+tree AS (
+  SELECT l.node_kind, l.id, l.id AS root_id, 0 AS depth, l.id AS path FROM links l LEFT JOIN links p ON p.node_kind = l.node_kind AND p.id = l.parent WHERE p.id IS NULL
+  UNION ALL
+  SELECT l.node_kind, l.id, t.root_id, t.depth + 1, t.path || '/' || l.id FROM tree t JOIN links l ON l.node_kind = t.node_kind AND l.parent = t.id
+)
+"""
+
+_ORPHANS = """
+refs AS (
+  SELECT table_name, record_id, field, target, ref, min(ingested_at) OVER (PARTITION BY table_name, record_id) AS seen, min(ts) OVER (PARTITION BY table_name, record_id) AS first_ts FROM (
+    SELECT 'artifacts' AS table_name, lower(trim(artifact_id)) AS record_id, 'run_id' AS field, 'runs' AS target, lower(trim(run_id)) AS ref, ingested_at, ts FROM artifacts
+    UNION ALL SELECT 'artifacts', lower(trim(artifact_id)), 'trace_id', 'llm_calls', lower(trim(trace_id)), ingested_at, ts FROM artifacts
+    UNION ALL SELECT 'retrieval_events', lower(trim(retrieval_id)), 'run_id', 'runs', lower(trim(run_id)), ingested_at, ts FROM retrieval_events
+    UNION ALL SELECT 'retrieval_events', lower(trim(retrieval_id)), 'trace_id', 'llm_calls', lower(trim(trace_id)), ingested_at, ts FROM retrieval_events
+  ) WHERE record_id <> ''
+),
+parents AS (
+  SELECT target, ref, min(ingested_at) AS first_at, max(ingested_at) AS last_at FROM (
+    SELECT 'runs' AS target, lower(trim(run_id)) AS ref, ingested_at FROM runs UNION ALL SELECT 'llm_calls', lower(trim(trace_id)), ingested_at FROM llm_calls
+  ) GROUP BY 1, 2
+),
+pruned AS (SELECT lower(trim(table_name)) AS target, lower(trim(record_id)) AS ref, max(pruned_at) AS pruned_at FROM prune_log GROUP BY 1, 2),
+orphans AS (
+  SELECT DISTINCT table_name, record_id, field, strftime(first_ts AT TIME ZONE 'UTC', '%Y-%m') AS period,
+    CASE WHEN pruned_at IS NOT NULL AND (last_at IS NULL OR last_at <= pruned_at) THEN 'deleted' WHEN first_at IS NULL THEN 'missing' WHEN first_at > seen THEN 'late' END AS reason
+  FROM refs LEFT JOIN parents USING (target, ref) LEFT JOIN pruned USING (target, ref) WHERE ref <> ''
+)
+"""
+
+SQL: dict[str, str] = {
+    "p3_found": f"""
+WITH RECURSIVE {_LINKS}
+SELECT l.node_kind, l.id AS node_id, coalesce(t.root_id, '') AS root_id, coalesce(t.depth, -1)::INTEGER AS depth
+FROM links l LEFT JOIN tree t ON t.node_kind = l.node_kind AND t.id = l.id WHERE l.parent IS NOT NULL""",
+    "p4_found": f"WITH {_ORPHANS} SELECT table_name, record_id, field, reason, period FROM orphans WHERE reason IS NOT NULL",
+    "p4_snapshot": f"WITH {_ORPHANS} SELECT table_name, field, reason, period, count(*) AS orphans FROM orphans WHERE reason IS NOT NULL GROUP BY ALL",
+}
