@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import packing, sentences, tokenizer
+from corpusloom.llm import boilerplate, chunking, packing, sentences, tokenizer
 from corpusloom.sources.tables import spread, table
 
 CONTAINER_TOKENS = 2048
@@ -17,6 +17,28 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of content and snippet that aren't main body."""
+    return boilerplate.furniture_lines(spread(table(spark, d, "crawled_items")))
+
+
+def p1_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """The main body of each item."""
+    return boilerplate.main_bodies(spread(table(spark, d, "crawled_items")))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """The recorded pieces that break the contract."""
+    return chunking.piece_faults(table(spark, d, "chunk_snapshots"), table(spark, d, "documents"), table(spark, d, "split_profiles"))
+
+
+def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of every document over its limit."""
+    docs, profiles = table(spark, d, "documents"), table(spark, d, "split_profiles")
+    over = docs.join(F.broadcast(profiles.select("profile", "max_chars")), "profile").filter(F.length("text") > F.col("max_chars"))
+    return chunking.split_documents(spread(over.select("doc_id", "text", "profile")), profiles)
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """The ids of each document in byte_bpe_50k."""
     return tokenizer.encode_texts(_texts(spark, d))
@@ -53,6 +75,10 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_bodies": p1_bodies,
+    "p6_found": p6_found,
+    "p6_pieces": p6_pieces,
     "p8_ids": p8_ids,
     "p8_roundtrip": p8_roundtrip,
     "p9_containers": p9_containers,
