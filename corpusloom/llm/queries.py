@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import boilerplate, chunking, packing, sentences, tokenizer
+from corpusloom.llm import boilerplate, chunking, neighbours, packing, sentences, tokenizer
 from corpusloom.sources.tables import spread, table
 
 CONTAINER_TOKENS = 2048
@@ -39,6 +39,16 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return chunking.split_documents(spread(over.select("doc_id", "text", "profile")), profiles)
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of similar vectors of which one is among the 5 most similar of the other."""
+    return neighbours.similar_pairs(spread(table(spark, d, "embedding_cache")))
+
+
+def p7_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Up to 5 most similar vectors of every vector, with their similarity."""
+    return neighbours.neighbours(spread(table(spark, d, "embedding_cache")))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """The ids of each document in byte_bpe_50k."""
     return tokenizer.encode_texts(_texts(spark, d))
@@ -79,6 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_bodies": p1_bodies,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
+    "p7_found": p7_found,
+    "p7_neighbours": p7_neighbours,
     "p8_ids": p8_ids,
     "p8_roundtrip": p8_roundtrip,
     "p9_containers": p9_containers,
