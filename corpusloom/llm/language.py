@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from collections import Counter
 
 #: Frequent function words that few other languages share.
 STOP = {
@@ -30,11 +30,6 @@ _SCRIPTS = (
 _MARKS = (("de", re.compile("[äöüßÄÖÜ]")), ("es", re.compile("[ñ¿¡áíóú]")), ("fr", re.compile("[èêëçœàâîïûù«»]")))
 
 
-@lru_cache(maxsize=65536)
-def _shares(word: str) -> tuple:
-    return tuple(_SHARE.get(word, {}).items())
-
-
 def language(text: str) -> str:
     """The language of most of the text: a script's, or the one of the four Latin ones whose function words prevail; '' if nothing tells."""
     if not text:
@@ -48,9 +43,11 @@ def language(text: str) -> str:
         if counts[best] > latin:
             return best
     score = dict.fromkeys(STOP, 0.0)
-    for w in _LATIN.findall(text.lower()):
-        for k, v in _shares(w):
-            score[k] += v
+    count = Counter(_LATIN.findall(text.lower()))
+    for w in _SHARE.keys() & count.keys():
+        n = count[w]
+        for k, v in _SHARE[w].items():
+            score[k] += n * v
     if not text.isascii():
         for k, p in _MARKS:
             score[k] += 0.34 * len(p.findall(text))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import boilerplate, chunking, neighbours, packing, sentences, tokenizer
+from corpusloom.llm import boilerplate, chunking, neighbours, packing, pairs, sentences, tokenizer
 from corpusloom.sources.tables import spread, table
 
 CONTAINER_TOKENS = 2048
@@ -27,6 +27,22 @@ def p1_bodies(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.main_bodies(spread(table(spark, d, "crawled_items")))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """The calls whose response is no proper answer, with their defect."""
+    return pairs.defects(spread(table(spark, d, "llm_calls"))).filter("defect IS NOT NULL").select("trace_id", "defect")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The calls whose response was cut, with their stage."""
+    return pairs.defects(spread(table(spark, d, "llm_calls"))).filter("defect = 'truncated'").select("trace_id", "stage")
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    """How often each stage truncates."""
+    cut = F.sum(F.when(F.col("defect") == "truncated", 1).otherwise(0))
+    return pairs.defects(spread(table(spark, d, "llm_calls"))).groupBy("stage").agg(F.count("*").alias("calls"), cut.alias("cut"), (cut / F.count("*")).alias("share"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """The recorded pieces that break the contract."""
     return chunking.piece_faults(table(spark, d, "chunk_snapshots"), table(spark, d, "documents"), table(spark, d, "split_profiles"))
@@ -87,6 +103,9 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_bodies": p1_bodies,
+    "p2_found": p2_found,
+    "p5_found": p5_found,
+    "p5_rates": p5_rates,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
     "p7_found": p7_found,
