@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import hierarchy, orphans
+from corpusloom.plans import retrieval_queries
+from corpusloom.plans.retrieval_queries import flagship  # noqa: F401
 from corpusloom.sources.tables import table
 
 
@@ -55,14 +57,10 @@ def p4_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return orphans.OrphanState.first(_references(spark, d), _parents(spark, d)).snapshot()
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_hierarchy": p3_hierarchy,
     "p3_cycles": p3_cycles,
     "p4_found": p4_found,
     "p4_snapshot": p4_snapshot,
-}
+} | retrieval_queries.QUERIES

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from corpusloom.plans import retrieval_queries
+
 _LINKS = """
 links AS (
   SELECT 'run' AS node_kind, lower(trim(run_id)) AS id, nullif(lower(trim(arg_max(coalesce(parent_run_id, ''), ingested_at))), '') AS parent FROM runs WHERE trim(run_id) <> '' GROUP BY 1, 2
@@ -45,3 +47,4 @@ FROM links l LEFT JOIN tree t ON t.node_kind = l.node_kind AND t.id = l.id WHERE
     "p4_found": f"WITH {_ORPHANS} SELECT table_name, record_id, field, reason, period FROM orphans WHERE reason IS NOT NULL",
     "p4_snapshot": f"WITH {_ORPHANS} SELECT table_name, field, reason, period, count(*) AS orphans FROM orphans WHERE reason IS NOT NULL GROUP BY ALL",
 }
+SQL |= retrieval_queries.SQL
