@@ -30,8 +30,11 @@ _SCRIPTS = (
 _MARKS = (("de", re.compile("[äöüßÄÖÜ]")), ("es", re.compile("[ñ¿¡áíóú]")), ("fr", re.compile("[èêëçœàâîïûù«»]")))
 
 
-def language(text: str) -> str:
-    """The language of most of the text: a script's, or the one of the four Latin ones whose function words prevail; '' if nothing tells."""
+def language(text: str, count: Counter | None = None) -> str:
+    """The language of most of the text: a script's, or the one of the four Latin ones whose function words prevail; '' if nothing tells.
+
+    ``count``: the counted words of the text in lower case, where they are at hand.
+    """
     if not text:
         return ""
     if not text.isascii():
@@ -43,7 +46,8 @@ def language(text: str) -> str:
         if counts[best] > latin:
             return best
     score = dict.fromkeys(STOP, 0.0)
-    count = Counter(_LATIN.findall(text.lower()))
+    if count is None:
+        count = Counter(_LATIN.findall(text.lower()))
     for w in _SHARE.keys() & count.keys():
         n = count[w]
         for k, v in _SHARE[w].items():

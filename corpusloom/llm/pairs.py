@@ -20,6 +20,7 @@ the row ingested last holds.  Null and blank ids give nothing.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,6 +51,10 @@ _DECLINE = re.compile(
     |お応えできません|お答えできません|お手伝いできません|控えさせていただきます|対応できません|不能回答|无法(?:协助|回答|处理|提供)|超出了我|不便回答|拒绝回答|できかねます""",
     re.I | re.X,
 )
+#: One of these stands in every sentence that declines; a search for them is quick.
+_HINTS = tuple(
+    "can't|can’t|cannot|can not|unable|not able|won't|won’t|decline|refuse|pass on|rather not|something i|guidelines|leave to|wrong of me|will not|shall not|stay away|policy|helfen|ablehnen|ich nicht|ich leider|pas répondre|pas aider|pas traiter|décliner|refuser|impossible|no puedo|rechazar|declinar|no me es|できません|控え|できかねます|不能|无法|超出|不便|拒绝".split("|")
+)
 #: Fixed patterns: sentences that excuse it or lead away, and courtesies before it.
 _EXCUSE = re.compile(
     r"""\bI\ cannot\ support\b|\bI\ may\ discuss\b|\btopics?\ I\ avoid\b|\bdo\ not\ have\ access\b|\btry\ (?:a\ different|another)\b|\banything\ else\b|\bask\ a\ (?:specialist|professional)\b|^thank\ you\ for\b|^(?:I(?:'|’)?m\ )?sorry\b.{0,12}$
@@ -88,7 +93,10 @@ def is_empty(response: str | None, error: str | None) -> bool:
 
 
 def is_refusal(response: str) -> bool:
-    if len(response) > 600 or not (_DECLINE.search(response)):
+    if len(response) > 600:
+        return False
+    low = response.lower()
+    if not any(h in low for h in _HINTS) or not _DECLINE.search(response):
         return False
     units = [response[a:b] for a, b in units_of(response)]
     declines = [bool(_DECLINE.search(u)) for u in units]
@@ -101,8 +109,8 @@ def instruction(prompt: str) -> str:
     return parts[0] + "\n" + parts[-1] if parts else ""
 
 
-def is_copy(prompt: str, response: str) -> bool:
-    words, asked = _WORD.findall(response.lower()), _WORD.findall(prompt.lower())
+def is_copy(prompt: str, words: list[str], asked: list[str]) -> bool:
+    """``words`` and ``asked``: the words of response and prompt, in lower case."""
     if len(words) < RUN or not asked:
         return False
     known = set(asked)
@@ -129,15 +137,16 @@ def asked_language(prompt: str) -> str:
     return ""
 
 
-def is_foreign(prompt: str, response: str) -> bool:
+def is_foreign(prompt: str, response: str, words: list[str], asked: list[str]) -> bool:
     """Whether most of the answer is in another language than it should be."""
-    text = _FENCED.sub(" ", response) if "```" in response else response
+    fenced = "```" in response
+    text = _FENCED.sub(" ", response) if fenced else response
     if len(text) < 8 or text.lstrip()[:1] in "[{|":
         return False
-    got = language(text)
+    got = language(text, None if fenced else Counter(words))
     if not got:
         return False
-    want = asked_language(prompt) or language(prompt)
+    want = asked_language(prompt) or language(prompt, Counter(asked))
     if not want or got == want:
         return False
     return sum(c.isalpha() for c in text) >= 8
@@ -149,11 +158,12 @@ def features(prompt: str | None, response: str | None, error: str | None) -> tup
         return "empty", None, None
     if is_refusal(response):
         return "refusal", None, None
-    if prompt and is_copy(prompt, response):
+    words, asked = _WORD.findall(response.lower()), _WORD.findall(prompt.lower()) if prompt else []
+    if prompt and is_copy(prompt, words, asked):
         return "copy", None, None
     how = truncation.ending(response)
     key = truncation.open_key(response) if how == truncation.OPEN_TAIL else None
-    return ("language" if prompt and is_foreign(prompt, response) else None), how, key
+    return ("language" if prompt and is_foreign(prompt, response, words, asked) else None), how, key
 
 
 def shortened(calls: DataFrame) -> DataFrame:

@@ -82,7 +82,7 @@ def loose_lines(text: str) -> list[str]:
     out = []
     for line in text.split("\n"):
         line = line.strip()
-        if line and not _TERMINAL.search(line):
+        if line and not _TERMINAL.search(line[-24:]):
             out += [KEYWORD + k for k in keywords(line)] or [line]
     return out
 
@@ -116,7 +116,7 @@ def ending(text: str) -> str:
     t = text.strip()
     if not t:
         return NATURAL
-    if _MARKER.search(t) and len(t) > 3:
+    if _MARKER.search(t[-16:]) and len(t) > 3:
         return CUT
     done = _json_done(t)
     if done is not None:
@@ -129,7 +129,7 @@ def ending(text: str) -> str:
     if last.startswith("|"):
         rows = [x.strip() for x in t.split("\n") if x.strip().startswith("|")]
         return NATURAL if len(last) > 1 and last.endswith("|") and last.count("|") >= rows[0].count("|") else CUT
-    if _TERMINAL.search(t):
+    if _TERMINAL.search(t[-24:]):
         for left, right in _QUOTES:
             at = last.rfind(left)
             if left == "“" and "„" in last:  # there it closes
