@@ -243,6 +243,8 @@ class Utf8Machine:
         self.low, self.high = 0x80, 0xBF
 
     def feed(self, data: bytes) -> str:
+        if not self.need and data.isascii():
+            return data.decode("ascii")
         out = []
         for b in data:
             if self.need:
