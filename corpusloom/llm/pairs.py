@@ -37,6 +37,7 @@ from corpusloom.session import Stages
 PLACEHOLDERS = frozenset(
     "|n/a|na|none|null|nil|nan|tbd|todo|tba|{}|no response|no answer|empty|answer|answer:|response|response:|output|output:|<answer></answer>|<response></response>|undefined|placeholder|lorem ipsum|réponse|antwort|respuesta|回答|答案|无|なし".split("|")
 )
+_TAGS = re.compile(r"<[^<>]*>")
 _ERROR = re.compile(r"^\[?(?:llm )?(?:error|exception|traceback|failure|fehler|erreur)\b[^\n]{0,200}$", re.I)
 #: Messages of failed calls that stand for a response.
 _FAILURES = re.compile(r"^(?:request timed out|connection reset|rate limit|context length exceeded|upstream closed|service unavailable|internal server error|bad gateway)[^\n]{0,80}$", re.I)
@@ -86,6 +87,8 @@ def is_empty(response: str | None, error: str | None) -> bool:
         return t != "[]"
     if len(t) > 300:
         return False
+    if t[0] == "<" and not any(c.isalnum() for c in _TAGS.sub("", t)):
+        return True
     bare = t.strip("*_#>-–—`()[] \t\r\n").lower()
     if bare in PLACEHOLDERS or bare.rstrip(":.") in PLACEHOLDERS:
         return True
