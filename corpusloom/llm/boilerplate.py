@@ -154,6 +154,15 @@ def _several(line: str) -> bool:
     return len(line) >= 30 and len(_STOPS.findall(line)) >= 2 and len(units_of(line)) >= 2
 
 
+def _crumb(texts: list[str]) -> str:
+    """The last place of a page's breadcrumb, the beginning of its title; '' without one."""
+    for t in texts:
+        parts = re.split(r"\s*[›»>/]\s*", t) if 0 < len(t) < 120 else []
+        if len(parts) > 1 and _masked(parts[-1], "") not in PHRASES and all(_masked(p, "") in PHRASES for p in parts[:-1]):
+            return parts[-1].rstrip(".… ")
+    return ""
+
+
 def body_lines(lines: list[str], site: str, title: str, excerpt: str, common: frozenset, lang: str) -> set[int]:
     """The numbers of the non-blank lines that are main body."""
     judge = _Judge(site, title, lang, common)
@@ -161,7 +170,10 @@ def body_lines(lines: list[str], site: str, title: str, excerpt: str, common: fr
     length = np.zeros(len(lines), dtype=np.int64)
     teaser = False
     # the body can't begin before the page's own title, where the page has it as a line
-    first = next((k for k, t in enumerate(texts) if t and t.lstrip("# ").strip() == title), -1)
+    first = next((k for k, t in enumerate(texts) if t and t.lstrip("# ").strip() == title), -1) if title else -1
+    if not title and (crumb := _crumb(texts)):
+        # without a title the breadcrumb's last place tells how it begins
+        first = next((k for k, t in enumerate(texts) if t.lstrip("# ").startswith(crumb)), -1)
     for k, t in enumerate(texts):
         if not t or k < first:
             continue

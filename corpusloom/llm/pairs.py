@@ -63,7 +63,11 @@ _EXCUSE = re.compile(
     re.I | re.X,
 )
 #: Fixed patterns: prompts that ask for a copy or for another language.
-_ASKS_COPY = re.compile(r"word for word|verbatim|\brepeat the\b|\bcopy (?:the|this)\b|return it in full|correct the (?:spelling|grammar|typos)|proofread|wörtlich|wortwörtlich|wiederhole|mot pour mot|répète|palabra por palabra|repite|逐字|原样|一字一句|そのまま|繰り返", re.I)
+_ASKS_COPY = re.compile(
+    r"word for word|verbatim|return it in full|correct the (?:spelling|grammar|typos)|proofread|wortwörtlich|wort für wort|mot pour mot|palabra por palabra|逐字|原样|一字一句|そのまま"
+    r"|^(?:please )?(?:repeat|copy|quote) (?:the|this)\b|^(?:wiederhole|répète|répétez|recopie|repite|repita|copia)\b|繰り返して",
+    re.I | re.M,
+)
 _LANGUAGES = {
     "english": "en", "german": "de", "french": "fr", "spanish": "es", "russian": "ru", "chinese": "zh", "japanese": "ja", "arabic": "ar", "hindi": "hi", "thai": "th", "korean": "ko",
     "englisch": "en", "deutsch": "de", "französisch": "fr", "spanisch": "es", "chinesisch": "zh", "japanisch": "ja", "anglais": "en", "allemand": "de", "français": "fr", "espagnol": "es", "chinois": "zh", "japonais": "ja",

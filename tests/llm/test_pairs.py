@@ -39,6 +39,8 @@ def test_copy():
     assert P.features(EN, "Summarise the passage below in a few sentences.", None)[0] == "copy"
     passage = EN.split("\n\n")[1]
     assert P.features("Repeat the passage word for word.\n\n" + passage, passage, None)[0] is None
+    fr = "Résume le passage suivant en quelques phrases.\n\nLe registre répète la longue citation de la page."
+    assert P.features(fr, fr.split("\n")[0], None)[0] == "copy"
     assert P.features(EN, "In short, the index keeps a list and the run drops some notes.", None)[0] is None
 
 
