@@ -55,6 +55,9 @@ ORDINAL_AFTER = frozenset("im am vom zum beim der dem den des die das ab bis sei
 #: Names written in lower case at the beginning of a sentence (a parameter of the suppression rules).
 LOWER_NAMES = ("vaultd", "vaultctl")
 
+#: Opening marks that close in some languages, and what opens there.
+_CLOSES = {"\u201c": "\u201e", "\u2018": "\u201a", "\u00ab": "\u00bb", "\u2039": "\u203a"}
+
 #: Sentences in Thai are parted by a blank between two of these.
 _THAI = "\u0e01-\u0e3a\u0e40-\u0e4e"
 _THAI_BLANK = re.compile(f"(?<=[{_THAI}])[ \\t\u00a0]+(?=[{_THAI}])")
@@ -141,10 +144,10 @@ def _sentences(text: str, a: int, b: int, cand: re.Pattern | None, out: list[tup
                 start = nxt_at
                 continue
         closed = stop > t1
-        if closed and text[stop - 1] in "\u201c\u2018":  # these close what a low mark opened, else they open
+        if closed and text[stop - 1] in _CLOSES:  # these close what their counterpart opened, else they open
             k = stop
-            while k > t1 and text[k - 1] in "\u201c\u2018":
-                low = text.rfind("\u201e" if text[k - 1] == "\u201c" else "\u201a", start, k)
+            while k > t1 and text[k - 1] in _CLOSES:
+                low = text.rfind(_CLOSES[text[k - 1]], start, k)
                 if low >= 0 and text.find(text[k - 1], low, k - 1) < 0:
                     break
                 k -= 1
