@@ -106,7 +106,7 @@ def q_dup_keys(spark: SparkSession, d: str) -> DataFrame:
 
 def q_distinct_queries(spark: SparkSession, d: str) -> DataFrame:
     q = F.trim("query_text")
-    return retrievals(spark, d).filter(q != "").groupBy(q.alias("query")).agg(F.max("ts").alias("last_ts"), F.count("*").alias("n"))
+    return retrievals(spark, d).filter(q != "").groupBy(q.alias("query")).agg(F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("last_ts"), F.count("*").alias("n"))
 
 
 _RESULTS = "array<struct<id:string,title:string,source:string>>"
@@ -382,7 +382,7 @@ SQL = {
     "q_canary": "SELECT *, CASE WHEN grounded_n < 5 OR cold_n < 5 THEN 'insufficient' WHEN cold - grounded >= 0.1 THEN 'alarm' ELSE 'ok' END AS status FROM (SELECT sum(h)::BIGINT AS grounded_n, sum(1 - h)::BIGINT AS cold_n, round(avg(CASE WHEN h = 1 THEN quality_score END), 6) AS grounded, round(avg(CASE WHEN h = 0 THEN quality_score END), 6) AS cold FROM (SELECT quality_score, coalesce(trim(trace_id) <> '', false)::INT AS h FROM artifacts WHERE quality_score IS NOT NULL))",
     "q_validation": "SELECT artifact_type, count(*) AS n, round(avg(quality_score), 6) AS mean_score, round(sum(CASE WHEN quality_score < 8 THEN 1 ELSE 0 END) / count(quality_score), 6) AS broken_rate, round(count(quality_score) / count(*), 6) AS coverage FROM artifacts GROUP BY 1",
     "q_dup_keys": "SELECT artifact_id, count(*) AS n FROM artifacts GROUP BY 1 HAVING count(*) > 1",
-    "q_distinct_queries": "SELECT trim(query_text) AS query, max(ts) AS last_ts, count(*) AS n FROM retrieval_events WHERE trim(query_text) <> '' GROUP BY 1",
+    "q_distinct_queries": "SELECT trim(query_text) AS query, strftime(max(ts) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS last_ts, count(*) AS n FROM retrieval_events WHERE trim(query_text) <> '' GROUP BY 1",
     "q_json_explode": f"SELECT r.title AS title, count(*) AS n, count(DISTINCT r.id) AS ids FROM (SELECT unnest({_RES}) AS r FROM retrieval_events WHERE status = 'succeeded') WHERE r.title IS NOT NULL GROUP BY 1",
     "q_explain": f"SELECT retrieval_id, place::INTEGER AS place, r.id AS id, r.source AS source FROM (SELECT retrieval_id, unnest(j) AS r, generate_subscripts(j, 1) AS place FROM (SELECT DISTINCT retrieval_id, {_RES} AS j FROM retrieval_events)) WHERE r.id IS NOT NULL",
     "q_tag_clusters": f"SELECT r.title AS title, count(DISTINCT r.source) AS sources FROM (SELECT unnest({_RES}) AS r FROM retrieval_events) WHERE r.title IS NOT NULL GROUP BY 1 HAVING count(DISTINCT r.source) >= 2",

@@ -67,7 +67,7 @@ def q_asof(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     buys = e.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
     clicks = e.filter("event_type = 'click'").select("user_id", "ts", "event_id")
-    return J.as_of(buys, clicks, "user_id", "ts", "ts", F.struct("ts", "event_id"), "c").select("event_id", F.col("c.ts").alias("last_click"))
+    return J.as_of(buys, clicks, "user_id", "ts", "ts", F.struct("ts", "event_id"), "c").select("event_id", F.date_format("c.ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last_click"))
 
 
 def q_title_match(spark: SparkSession, d: str) -> DataFrame:
@@ -249,7 +249,7 @@ def q_sections(spark: SparkSession, d: str) -> DataFrame:
     """Top folders of the paths with documents and the newest update; names that begin with a mark are skipped."""
     top = F.regexp_extract("path", "^/*([^/]+)/", 1)
     p = _docs(spark, d).filter("path IS NOT NULL").select(top.alias("section"), "updated").filter("section != '' AND NOT section LIKE '.%' AND NOT substring(section, 1, 1) = '_'")
-    return p.groupBy("section").agg(F.count("*").alias("documents"), F.max("updated").alias("newest"))
+    return p.groupBy("section").agg(F.count("*").alias("documents"), F.date_format(F.max("updated"), "yyyy-MM-dd HH:mm:ss").alias("newest"))
 
 
 def q_monotone(spark: SparkSession, d: str) -> DataFrame:
@@ -272,7 +272,7 @@ SQL = {
     "q_link_lint": f"WITH {_LINK} SELECT target, count(*) AS links FROM links WHERE lower(target) NOT IN (SELECT k FROM titles) GROUP BY 1",
     "q_groundedness": f"WITH {_LINK}, g AS (SELECT doc_id, avg((lower(target) IN (SELECT k FROM titles))::INT) AS g FROM links GROUP BY 1) SELECT doc_id, round(coalesce(g, 1.0::DOUBLE), 6) AS groundedness FROM documents LEFT JOIN g USING (doc_id)",
     "q_interval_join": f"WITH {_C}, p AS (SELECT * FROM c WHERE char_end > char_start) SELECT p.doc_id, chunk_index, min(w) AS first_window, count(*) AS windows FROM p JOIN (SELECT doc_id, unnest(range(0, (n_chars - 1) // 1000 + 1)) AS w FROM documents WHERE n_chars > 0) v ON p.doc_id = v.doc_id AND char_start < w * 1000 + 1000 AND char_end > w * 1000 GROUP BY 1, 2",
-    "q_asof": "SELECT b.event_id, (SELECT max(c.ts) FROM events c WHERE c.event_type = 'click' AND c.user_id = b.user_id AND c.ts < b.ts) AS last_click FROM events b WHERE b.event_type = 'purchase'",
+    "q_asof": "SELECT b.event_id, strftime((SELECT max(c.ts) FROM events c WHERE c.event_type = 'click' AND c.user_id = b.user_id AND c.ts < b.ts), '%Y-%m-%d %H:%M:%S.%f') AS last_click FROM events b WHERE b.event_type = 'purchase'",
     "q_title_match": f"WITH {_C}, r AS (SELECT DISTINCT title, {_NORM} AS k FROM crawled_items WHERE title IS NOT NULL), t AS (SELECT title AS match, {_NORM} AS m FROM (SELECT DISTINCT unnest(section_path) AS title FROM c)), s AS (SELECT r.title, t.match, CASE WHEN m = k THEN 100 WHEN m = k || ' (stitched)' THEN 95 WHEN m = k || ' (synthesis)' THEN 90 END AS score FROM r JOIN t ON m IN (k, k || ' (stitched)', k || ' (synthesis)') WHERE k <> '') SELECT title, match, score::INTEGER AS score FROM s QUALIFY row_number() OVER (PARTITION BY title ORDER BY score DESC, match) = 1",
     "q_sym_edges": "WITH e AS (SELECT lower(trim(trace_id)) AS src, lower(trim(parent_trace_id)) AS dst FROM llm_calls WHERE trim(trace_id) <> '' AND trim(parent_trace_id) <> ''), s AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst) SELECT src, count(*) AS degree FROM s GROUP BY 1",
     "q_lineage": "WITH RECURSIVE l AS (SELECT lower(trim(run_id)) AS node, nullif(lower(trim(arg_max(coalesce(parent_run_id, ''), ingested_at))), '') AS parent FROM runs WHERE trim(run_id) <> '' GROUP BY 1), k AS (SELECT * FROM l WHERE parent IN (SELECT node FROM l)), w AS (SELECT node, parent AS ancestor, 1 AS distance, [node, parent] AS seen FROM k UNION ALL SELECT w.node, k.parent, w.distance + 1, list_append(w.seen, k.parent) FROM w JOIN k ON k.node = w.ancestor WHERE w.distance < 8 AND NOT list_contains(w.seen, k.parent)) SELECT node, count(*) AS ancestors, max(distance)::INTEGER AS farthest FROM w GROUP BY 1",
@@ -297,6 +297,6 @@ SQL = {
     "q_facets": f"WITH {_C}, h AS (SELECT DISTINCT doc_id, unnest(section_path) AS text FROM c), n AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY text) - 1 AS facet_index FROM h WHERE length(text) >= 8) SELECT doc_id, facet_index::INTEGER AS facet_index, text FROM n WHERE facet_index < 8",
     "q_verdict_parse": r"WITH v AS (SELECT lower(regexp_extract(trim(response_text), '(?i)^(supported|refuted|unclear)\.?$', 1)) AS verdict FROM llm_calls) SELECT verdict, count(*) AS n, max(CASE verdict WHEN 'supported' THEN 2 WHEN 'unclear' THEN 1 ELSE 0 END)::INTEGER AS rank FROM v WHERE verdict <> '' GROUP BY 1",
     "q_supersede": "WITH a AS (SELECT DISTINCT lower(trim(run_id)) AS run_id, artifact_id, artifact_type, ts FROM artifacts WHERE trim(run_id) <> '' AND artifact_type IS NOT NULL) SELECT run_id, count(*) AS evidence, count(DISTINCT artifact_type) AS active, count(*) - count(DISTINCT artifact_type) AS superseded FROM a GROUP BY 1",
-    "q_sections": "WITH p AS (SELECT regexp_extract(path, '^/*([^/]+)/', 1) AS section, updated FROM documents WHERE path IS NOT NULL) SELECT section, count(*) AS documents, max(updated) AS newest FROM p WHERE section <> '' AND section NOT LIKE '.%' AND section[1] <> '_' GROUP BY 1",
+    "q_sections": "WITH p AS (SELECT regexp_extract(path, '^/*([^/]+)/', 1) AS section, updated FROM documents WHERE path IS NOT NULL) SELECT section, count(*) AS documents, strftime(max(updated) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS newest FROM p WHERE section <> '' AND section NOT LIKE '.%' AND section[1] <> '_' GROUP BY 1",
     "q_monotone": f"WITH {_C}, s AS (SELECT doc_id, size, lag(size) OVER (PARTITION BY doc_id ORDER BY chunk_index, char_start) AS p FROM c) SELECT * FROM (SELECT doc_id, round(avg((size >= p)::INT), 6) AS share FROM s WHERE p IS NOT NULL GROUP BY 1) WHERE share >= 0.8",
 }
