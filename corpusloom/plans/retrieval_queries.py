@@ -34,8 +34,8 @@ def q_tokens(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.size(t).alias("tokens"), F.size(F.array_distinct(t)).alias("distinct_tokens"))
 
 
-def _ranked_bm25(spark: SparkSession, d: str, k: int) -> DataFrame:
-    scored = R.bm25(_title_queries(spark, d), _docs(spark, d), "doc_id", "text").withColumn("score", F.round("score", 6))
+def _ranked_bm25(spark: SparkSession, d: str, k: int, queries: DataFrame | None = None) -> DataFrame:
+    scored = R.bm25(_title_queries(spark, d) if queries is None else queries, _docs(spark, d), "doc_id", "text").withColumn("score", F.round("score", 6))
     return R.top_k(scored, k, "query_id", F.col("score").desc(), F.col("doc"))
 
 
@@ -43,15 +43,19 @@ def q_bm25(spark: SparkSession, d: str) -> DataFrame:
     return _ranked_bm25(spark, d, 10).select("query_id", F.col("doc").alias("doc_id"), "score", "rank")
 
 
-def q_doc_cap(spark: SparkSession, d: str) -> DataFrame:
-    ranked = _ranked_bm25(spark, d, 30).join(_docs(spark, d).select(F.col("doc_id").alias("doc"), "source"), "doc")
+def _capped(spark: SparkSession, d: str, queries: DataFrame | None = None) -> DataFrame:
+    ranked = _ranked_bm25(spark, d, 30, queries).join(_docs(spark, d).select(F.col("doc_id").alias("doc"), "source"), "doc")
     return R.cap_per_key(ranked, "source", 2).select("query_id", F.col("doc").alias("doc_id"), "source", "rank")
 
 
+def q_doc_cap(spark: SparkSession, d: str) -> DataFrame:
+    return _capped(spark, d)
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    """BM25 with at most two documents per source: the first ten of each query."""
-    capped = q_doc_cap(spark, d).withColumnRenamed("rank", "bm25_rank")
-    return R.top_k(capped, 10, "query_id", F.col("bm25_rank"))
+    """BM25 of every page title over the documents, at most two documents per source: the first ten of each query."""
+    titles = table(spark, d, "crawled_items").filter("title IS NOT NULL").groupBy(F.col("item_id").alias("query_id")).agg(F.min("title").alias("query"))
+    return R.top_k(_capped(spark, d, titles).withColumnRenamed("rank", "bm25_rank"), 10, "query_id", F.col("bm25_rank"))
 
 
 def _top(spark: SparkSession, d: str, k: int, metric: str) -> DataFrame:
@@ -73,10 +77,10 @@ def q_knn_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_novelty(spark: SparkSession, d: str) -> DataFrame:
-    """1 - greatest similarity to any earlier vector; 1 without a positive one."""
+    """1 - greatest similarity to any earlier vector; 1, and -1 as the id, without a positive one."""
     near = R.vector_search(_vector_queries(spark, d), table(spark, d, "embeddings"), 1, "cosine", where=lambda q, x: x < q)
     best = near.filter("value > 0").select("query_id", F.col("vec_id").alias("most_similar"), "value")
-    return _vector_queries(spark, d).select("query_id").join(best, "query_id", "left").select("query_id", "most_similar", F.round(F.greatest(F.lit(0.0), 1 - F.coalesce("value", F.lit(0.0))), 6).alias("novelty"))
+    return _vector_queries(spark, d).select("query_id").join(best, "query_id", "left").select("query_id", F.coalesce("most_similar", F.lit(-1).cast("bigint")).alias("most_similar"), F.round(F.greatest(F.lit(0.0), 1 - F.coalesce("value", F.lit(0.0))), 6).alias("novelty"))
 
 
 def q_rrf(spark: SparkSession, d: str) -> DataFrame:
@@ -171,7 +175,7 @@ SQL = {
     "q_vector_topk": f"WITH {_PAIRS} SELECT query_id, vec_id, value AS distance, rank::INTEGER AS rank FROM l2r WHERE rank <= 10",
     "q_cosine_topk": f"WITH {_PAIRS} SELECT query_id, vec_id, value AS similarity, rank::INTEGER AS rank FROM cosr WHERE rank <= 10",
     "q_knn_join": f"WITH {_PAIRS} SELECT query_id, vec_id, value AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY value DESC, vec_id) AS n FROM cosv WHERE query_id <> vec_id) WHERE n <= 5 AND value >= 0.3",
-    "q_novelty": f"WITH {_PAIRS}, best AS (SELECT query_id, vec_id, value, row_number() OVER (PARTITION BY query_id ORDER BY value DESC, vec_id) AS n FROM cosv WHERE vec_id < query_id) SELECT q.query_id, CASE WHEN b.value > 0 THEN b.vec_id END AS most_similar, round(greatest(0.0::DOUBLE, 1 - CASE WHEN b.value > 0 THEN b.value ELSE 0.0::DOUBLE END), 6) AS novelty FROM q LEFT JOIN best b ON b.query_id = q.query_id AND b.n = 1",
+    "q_novelty": f"WITH {_PAIRS}, best AS (SELECT query_id, vec_id, value, row_number() OVER (PARTITION BY query_id ORDER BY value DESC, vec_id) AS n FROM cosv WHERE vec_id < query_id) SELECT q.query_id, CASE WHEN b.value > 0 THEN b.vec_id ELSE -1 END AS most_similar, round(greatest(0.0::DOUBLE, 1 - CASE WHEN b.value > 0 THEN b.value ELSE 0.0::DOUBLE END), 6) AS novelty FROM q LEFT JOIN best b ON b.query_id = q.query_id AND b.n = 1",
     "q_rrf": f"WITH {_PAIRS}, fused AS (SELECT query_id, vec_id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score FROM (SELECT query_id, vec_id, rank FROM cosr WHERE rank <= 20 UNION ALL SELECT query_id, vec_id, rank FROM l2r WHERE rank <= 20) GROUP BY 1, 2) SELECT * FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM fused) WHERE rank <= 10",
     "q_hybrid": f"WITH {_BM25}, lexical AS (SELECT query_id, doc_id, rank FROM ranked WHERE rank <= 30), recent AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY updated DESC NULLS LAST, doc_id) AS rank FROM lexical JOIN documents USING (doc_id)), fused AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score FROM (SELECT * FROM lexical UNION ALL SELECT * FROM recent) GROUP BY 1, 2) SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM fused) WHERE rank <= 10",
     "q_weighted_fusion": f"WITH {_PAIRS}, b AS (SELECT query_id, vec_id, 1 / (1 + value) AS near FROM l2r WHERE rank <= 20), m AS (SELECT query_id, max(near) AS most FROM b GROUP BY 1) SELECT query_id, vec_id, round(0.5::DOUBLE * a.value + 0.5::DOUBLE * near / most, 5) AS score FROM cosr a JOIN b USING (query_id, vec_id) JOIN m USING (query_id) WHERE a.rank <= 20",

@@ -24,7 +24,7 @@ def duck():
 
 
 def plain(v):
-    if v is None or v is pd.NaT or isinstance(v, float) and v != v:
+    if v is None or v is pd.NaT or v is pd.NA or isinstance(v, float) and v != v:
         return ""
     if isinstance(v, float):
         return f"{v:.8g}"
