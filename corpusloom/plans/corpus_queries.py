@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.functions.ids import clean_id
 from corpusloom.operators import windows as W
+from corpusloom.operators.claims import consolidate
 from corpusloom.sources.tables import table
 
 
@@ -225,6 +226,12 @@ def q_pair_order(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy(F.least("stage", "p").alias("a"), F.greatest("stage", "p").alias("b")).agg(F.count("*").alias("n"))
 
 
+def q_consolidate(spark: SparkSession, d: str) -> DataFrame:
+    """Runs as claims: each kind of artifact is an insight, one whose trace is the run's own id an echo."""
+    a = _a(spark, d).filter("run_id IS NOT NULL AND artifact_type IS NOT NULL")
+    return consolidate(a.select(F.col("run_id").alias("claim_id"), F.col("artifact_type").alias("insight"), F.array("trace_id").alias("grounded_on")))
+
+
 QUERIES = {n: f for n, f in globals().items() if n.startswith("q_")}
 
 _A = "a AS (SELECT DISTINCT artifact_id, nullif(lower(trim(run_id)), '') AS run_id, nullif(lower(trim(trace_id)), '') AS trace_id, ts, path, artifact_type, quality_verdict, quality_score FROM artifacts)"
@@ -259,5 +266,6 @@ SQL = {
     "q_audit_records": f"WITH {_A} SELECT DISTINCT sha256(concat_ws('|', artifact_id, coalesce(run_id, ''), quality_verdict)) AS audit_id, artifact_id FROM a WHERE quality_verdict IS NOT NULL",
     "q_verdict_contract": f"WITH {_A} SELECT * FROM (SELECT artifact_id, CASE WHEN quality_verdict NOT IN ('keep', 'revise', 'reject', 'unparseable', 'error') THEN 'enum' WHEN quality_score < 0 OR quality_score > 10 THEN 'range' WHEN quality_verdict = 'reject' AND quality_score > 8 THEN 'contradiction' END AS problem FROM a) WHERE problem IS NOT NULL",
     "q_quote_offset": "SELECT DISTINCT item_id, (strpos(content, title) - 1)::INTEGER AS at FROM crawled_items WHERE title IS NOT NULL AND content IS NOT NULL",
+    "q_consolidate": f"WITH {_A}, o AS (SELECT run_id AS claim_id, artifact_type AS insight, count(*) AS n, min(coalesce(trace_id = run_id, false)::INT) AS echo FROM a WHERE run_id IS NOT NULL AND artifact_type IS NOT NULL GROUP BY 1, 2) SELECT claim_id, round(least(0.9::DOUBLE, 0.5::DOUBLE + 0.1::DOUBLE * (count(*) - sum(echo))), 4) AS confidence, count(*) AS insights, sum(echo)::BIGINT AS echoes, sum(n - 1)::BIGINT AS revisions FROM o GROUP BY 1",
     "q_pair_order": "WITH c AS (SELECT trace_id, any_value(lower(trim(run_id))) AS run_id, any_value(ts) AS ts, any_value(coalesce(stage, 'unknown')) AS stage FROM llm_calls WHERE trim(run_id) <> '' AND ts IS NOT NULL GROUP BY 1), p AS (SELECT stage, lag(stage) OVER (PARTITION BY run_id ORDER BY ts, trace_id) AS p FROM c) SELECT least(stage, p) AS a, greatest(stage, p) AS b, count(*) AS n FROM p WHERE p IS NOT NULL GROUP BY 1, 2",
 }

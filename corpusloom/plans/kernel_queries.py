@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.functions import extract as X
 from corpusloom.functions import markdown as M
+from corpusloom.functions import structure as S
 from corpusloom.operators import kernels as K
 from corpusloom.sources.tables import spread, table
 
@@ -82,4 +83,21 @@ def q_decay_grid(spark: SparkSession, d: str) -> DataFrame:
     return K.decay_grid(table(spark, d, "events").filter("event_type = 'purchase'"), "user_id", "ts", [14.0, 21.0, 28.0], [1.5, 1.8, 2.2])
 
 
+def q_heading_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Sections of the documents, from each heading to the next of its level or above."""
+    return K.flat_map(_docs(spark, d), ["doc_id", "text"], lambda i, t: [(i, a, b, level, h) for a, b, level, h in S.heading_spans(t)], "doc_id bigint, start bigint, end bigint, level int, heading string")
+
+
+def q_promoted(spark: SparkSession, d: str) -> DataFrame:
+    """Headings that plain texts would get, and numbered-line tables that would become text."""
+    return K.flat_map(_docs(spark, d), ["doc_id", "text"], lambda i, t: [(i, S.promote_headings(t)[1], S.flatten_numbered_tables(t)[1])], "doc_id bigint, headings int, tables int")
+
+
+def q_identifier_snap(spark: SparkSession, d: str) -> DataFrame:
+    """Profile names of the documents snapped to the known ones (a fixed table of four)."""
+    known = sorted(r.profile for r in table(spark, d, "split_profiles").select("profile").collect() if r.profile)
+    names = table(spark, d, "documents").filter("profile IS NOT NULL").select("profile").distinct()
+    return K.flat_map(names, ["profile"], lambda t: [(t, X.snap_identifier(t, known))], "profile string, known string")
+
+
 QUERIES = {n: f for n, f in globals().items() if n.startswith("q_")}
