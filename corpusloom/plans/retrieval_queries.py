@@ -12,7 +12,7 @@ from corpusloom.functions import text as T
 from corpusloom.functions import vectors as V
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import stats
-from corpusloom.sources.tables import table
+from corpusloom.sources.tables import spread, table
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -31,7 +31,7 @@ def _vector_queries(spark: SparkSession, d: str) -> DataFrame:
 
 def q_tokens(spark: SparkSession, d: str) -> DataFrame:
     t = T.tokens(F.col("text"))
-    return _docs(spark, d).select("doc_id", F.size(t).alias("tokens"), F.size(F.array_distinct(t)).alias("distinct_tokens"))
+    return spread(_docs(spark, d).select("doc_id", "text")).select("doc_id", F.size(t).alias("tokens"), F.size(F.array_distinct(t)).alias("distinct_tokens"))
 
 
 def _ranked_bm25(spark: SparkSession, d: str, k: int, queries: DataFrame | None = None) -> DataFrame:
