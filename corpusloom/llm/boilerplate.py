@@ -72,6 +72,7 @@ _TAG = re.compile(r"<[^<>]{1,300}>")
 _LINKED = re.compile(r"(?:<li>\s*)?<a\s[^<>]*>.*</a>(?:\s*</li>)?", re.I)
 _SEPARATOR = re.compile(r"\s*[·|›»>/]\s*|\s{2,}|\t")
 _BULLET = re.compile(r"^[•·]\s*")
+_MARKS = " ·|•/>»›-–—"
 _DIGITS = re.compile(r"\d+")
 _DATE = re.compile(r"\d{1,4}[./-]\d{1,2}[./-]\d{1,4}|\d{4}年\d{1,2}月\d{1,2}日|\d{1,2}\.? [^\W\d_]{3,9}\.? \d{4}|[^\W\d_]{3,9} \d{1,2}, \d{4}")
 _COPYRIGHT = re.compile(r"(?:©|\(c\)|copyright)\s*\d{4}", re.I)
@@ -137,7 +138,9 @@ class _Judge:
             if all(known[:-1]) and len(line) < 120 and (not self.title or self.title.startswith(parts[-1].rstrip(".… "))):
                 return True
         m = _masked(line, self.site)
-        rest = _inside().sub(" ", m)
+        # a line of nothing but phrases begins with one
+        begins = m.lstrip(_MARKS)
+        rest = _inside().sub(" ", m) if begins.startswith("©") or _inside().match(begins) else m
         if len(rest) < len(m):
             rest = re.sub(r"©\s*0\s*~?\.?|\W", "", rest)
             # several phrases in one line, the last perhaps cut
