@@ -43,14 +43,19 @@ def test_reasons(spark):
     assert found(O.orphan_references(refs(spark, ROWS), O._parents(parents(spark, PARENTS, DELETED)))) == WANT
 
 
+def kept(state):
+    """The state with its tables kept, as a job would write them."""
+    return O.OrphanState(state.parents.cache(), state.references.cache())
+
+
 def test_batches_give_what_one_batch_gives(spark):
-    state = O.OrphanState.first(refs(spark, ROWS[:3]), O._parents(parents(spark, PARENTS[:1], [])))
+    state = kept(O.OrphanState.first(refs(spark, ROWS[:3]), O._parents(parents(spark, PARENTS[:1], []))))
     assert found(state.orphans()) == {("a2", "missing", "2025-03")}
-    state = state.apply(refs(spark, ROWS[3:]), parents(spark, [], []))
+    state = kept(state.apply(refs(spark, ROWS[3:]), parents(spark, [], [])))
     assert {r for _, r, _ in found(state.orphans())} == {"missing"} and state.orphans().count() == 4
-    state = state.apply(refs(spark, []), parents(spark, PARENTS[1:], []))  # parents arrive
+    state = kept(state.apply(refs(spark, []), parents(spark, PARENTS[1:], [])))  # parents arrive
     assert found(state.orphans()) == {("a2", "missing", "2025-03"), ("a3", "late", "2025-04")}
-    state = state.apply(refs(spark, []), parents(spark, [], DELETED))  # deletions reopen
+    state = kept(state.apply(refs(spark, []), parents(spark, [], DELETED)))  # deletions reopen
     assert found(state.orphans()) == WANT
     counts = {(r.reason, r.period): r.orphans for r in state.snapshot().collect()}
     assert counts == {("missing", "2025-03"): 1, ("late", "2025-04"): 1, ("deleted", "2025-03"): 1}
