@@ -1,7 +1,8 @@
 """Broken prompt and response pairs (problem 2).
 
-Method: responses are sorted by text and neighbours' common prefixes compared, which finds shortened versions; spikes of
-the length distribution give limits at which answers are cut (see ``truncation``); then rules for copies, refusals and
+Method: responses are sorted by text and neighbours' common prefixes compared, which finds shortened versions: one that
+breaks off inside a word of its longer version is cut whatever the corpus says of its tail, one that has a longer version
+for the same prompt is cut whatever its ending; spikes of the length distribution give limits at which answers are cut (see ``truncation``); then rules for copies, refusals and
 languages apply.  Each defective pair gets one defect, the first that holds of:
 
 * ``empty``: null, blank, a placeholder or nothing but an error message;
@@ -24,7 +25,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.ids import clean_id
@@ -173,57 +174,71 @@ def features(prompt: str | None, response: str | None, error: str | None) -> tup
     return ("language" if prompt and is_foreign(prompt, response, words, asked) else None), how, key
 
 
-def shortened(calls: DataFrame) -> DataFrame:
-    """(response_hash) of the responses that are proper beginnings, of two words or more, of another response.
+def shortened(calls: DataFrame, by_prompt: bool = False) -> DataFrame:
+    """(part, kind, text, p, inword) of the responses that are proper beginnings, of two words or more, of another response
+    (``by_prompt``: of one to the same prompt, whose hash is p), and the first and last texts of each partition.
 
-    Distinct texts are sorted by range; in sorted order a beginning is followed by a longer version of itself.
+    Distinct texts are sorted by range; in sorted order a beginning is followed by a longer version of itself.  Blanks sort
+    before letters, so if that one goes on inside a word (``inword``) all do.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, first = None, None
-        hashes: list[int] = []
-        edge: list[str | None] = []
+        rows: list[tuple] = []
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for now in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if before is None:
-                    first = text
-                elif _begins(before, text):
-                    hashes.append(1)
-                    edge.append(before)
-                before = text
-            yield _out(hashes, edge)
-            hashes, edge = [], []
+                    first = now
+                elif before[0] == now[0] and _begins(before[1], now[1]):
+                    rows.append((1, *before, _in_word(before[1], now[1])))
+                before = now
+            yield _out(rows)
+            rows = []
         if before is not None:
-            yield _out([2, 3], [first, before])
+            yield _out([(2, *first, False), (3, *before, False)])
 
-    def _out(kinds: list[int], texts: list[str | None]) -> pa.RecordBatch:
+    def _out(rows: list[tuple]) -> pa.RecordBatch:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        return pa.RecordBatch.from_arrays([pa.array([part] * len(kinds), pa.int32()), pa.array(kinds, pa.int32()), pa.array(texts, pa.string())], names=["part", "kind", "text"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([part] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.bool_())],
+            names=["part", "kind", "text", "p", "inword"],
+        )
 
-    texts = calls.select(F.rtrim("response_text").alias("text")).filter("text != ''").groupBy("text").agg(F.lit(1).alias("one")).select("text")
+    prompt = prompt_key() if by_prompt else F.lit(0).cast("bigint")
+    texts = calls.select(prompt.alias("p"), F.rtrim("response_text").alias("text")).filter("text != '' AND p IS NOT NULL").groupBy("p", "text").agg(F.lit(1).alias("one")).select("p", "text")
     n = int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = texts.repartitionByRange(n, "text").sortWithinPartitions("text").mapInArrow(scan, "part int, kind int, text string")
-    return found
+    return texts.repartitionByRange(n, "p", "text").sortWithinPartitions("p", "text").mapInArrow(scan, "part int, kind int, text string, p bigint, inword boolean")
+
+
+def prompt_key() -> Column:
+    """A hash of the prompt; null without one."""
+    return F.when(F.trim("prompt_text") != "", F.xxhash64(F.rtrim("prompt_text")))
 
 
 def _begins(short: str, long: str) -> bool:
     return len(long) > len(short) >= 12 and long.startswith(short) and (" " in short.strip() or not short.isascii())
 
 
+def _in_word(short: str, long: str) -> bool:
+    """Whether the shorter text ends inside a word of the longer, in scripts with blanks."""
+    a, b = short[-1], long[len(short)]
+    return a.isalpha() and b.isalpha() and not truncation._CJK.search(a + b)
+
+
 def _edges(found: DataFrame) -> DataFrame:
     """The beginnings, with those whose longer version begins the next partition.  One first and one last row per partition reach the driver."""
-    edges = sorted((r.part, r.kind, r.text) for r in found.filter("kind > 1").collect())
+    edges = sorted((r.part, r.kind, r.p, r.text) for r in found.filter("kind > 1").collect())
     extra = []
-    for (_, ka, a), (_, kb, b) in zip(edges, edges[1:]):
-        if ka == 3 and kb == 2 and _begins(a, b):
-            extra.append((a,))
-    inner = found.filter("kind = 1").select("text")
-    return inner.unionByName(inner.sparkSession.createDataFrame(extra, "text string")) if extra else inner
+    for (_, ka, pa_, a), (_, kb, pb, b) in zip(edges, edges[1:]):
+        if ka == 3 and kb == 2 and pa_ == pb and _begins(a, b):
+            extra.append((a, pa_, _in_word(a, b)))
+    inner = found.filter("kind = 1").select("text", "p", "inword")
+    return inner.unionByName(inner.sparkSession.createDataFrame(extra, "text string, p bigint, inword boolean")) if extra else inner
 
 
-_FEATURES = "trace_id string, ingested_at timestamp, source string, h bigint, defect string, how string, tail bigint, chars bigint, tokens bigint"
+_FEATURES = "trace_id string, ingested_at timestamp, source string, h bigint, defect string, how string, tail bigint, chars bigint, tokens bigint, p bigint"
 
 
 def defects(calls: DataFrame) -> DataFrame:
@@ -231,7 +246,7 @@ def defects(calls: DataFrame) -> DataFrame:
     stages = Stages(calls.sparkSession, "pairs")
     cols = calls.select(
         clean_id("trace_id").alias("trace_id"), F.col("ingested_at").cast("timestamp").alias("ingested_at"), F.coalesce("stage", F.lit("unknown")).alias("source"), F.xxhash64(F.rtrim("response_text")).alias("h"),
-        F.col("completion_tokens").cast("bigint").alias("tokens"), "prompt_text", "response_text", "error",
+        F.col("completion_tokens").cast("bigint").alias("tokens"), "prompt_text", "response_text", "error", prompt_key().alias("p"),
     ).filter("trace_id IS NOT NULL")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,8 +256,8 @@ def defects(calls: DataFrame) -> DataFrame:
                 for col, v in zip(out, (*features(p, r, e), len(r) if r else 0)):
                     col.append(v)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(4)), pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), batch.column(4)],
-                names=["trace_id", "ingested_at", "source", "h", "defect", "how", "tail", "chars", "tokens"],
+                [*(batch.column(i) for i in range(4)), pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), batch.column(4), batch.column(8)],
+                names=["trace_id", "ingested_at", "source", "h", "defect", "how", "tail", "chars", "tokens", "p"],
             )
 
     each = stages.cut(cols.mapInArrow(judge, _FEATURES))
@@ -255,21 +270,23 @@ def defects(calls: DataFrame) -> DataFrame:
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t = tails.value
-            how = [("natural" if k in t else "cut") if h == "tail" else h for h, k in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(how, pa.string()), *(batch.column(i) for i in range(6, 9))], names=batch.schema.names)
+            # a natural tail stays "tail": less sure than a natural ending
+            how = ["cut" if h == "tail" and k not in t else h for h, k in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(how, pa.string()), *(batch.column(i) for i in range(6, 10))], names=batch.schema.names)
 
     ended = stages.cut(each.mapInArrow(settle, _FEATURES))
     # limits of the lengths: of values with an answer of their own only
-    found = truncation.limits(ended.filter(own).select("source", (F.col("how") == "natural").alias("natural"), kinds).select("source", "m.kind", "m.n", "natural"))
+    found = truncation.limits(ended.filter(own).select("source", (F.col("how") != "cut").alias("natural"), kinds).select("source", "m.kind", "m.n", "natural"))
     sure = {k: [n for n, p in by.items() if p > 0.5] for k, by in found.items()}
     at_limit = truncation.at_any(sure, F.col("source"), {"chars": F.col("chars"), "tokens": F.col("tokens")})
-    # a shortened version with an ending that isn't natural is cut whatever its tail; with a natural one it is an answer of its own
-    short = _edges(stages.cut(shortened(calls))).select(F.xxhash64("text").alias("h"), F.lit(True).alias("short")).distinct()
-    judged = ended.join(short, "h", "left").withColumn(
+    # beginnings: inside a word the corpus has no say; a longer answer to the same prompt outweighs a full stop; other ones with a natural ending are answers of their own
+    short = _edges(stages.cut(shortened(calls))).filter("inword").select(F.xxhash64("text").alias("h"), F.lit(True).alias("broken")).distinct()
+    again = _edges(stages.cut(shortened(calls, by_prompt=True))).select("p", F.xxhash64("text").alias("h"), F.lit(True).alias("again")).distinct()
+    judged = ended.join(short, "h", "left").join(again, ["p", "h"], "left").withColumn(
         "defect",
         F.when(F.col("defect").isin("empty", "refusal", "copy"), F.col("defect"))
         .when((F.col("how") == "cut") | at_limit, "truncated")
-        .when(F.coalesce("short", F.lit(False)) & (F.col("how") != "natural"), "truncated")
+        .when((F.col("broken") & (F.col("how") == "tail")) | F.col("again"), "truncated")
         .otherwise(F.col("defect")),
     )
     last = judged.groupBy("trace_id").agg(F.max_by(F.struct("source", "defect"), F.struct("ingested_at", "h")).alias("r"))

@@ -108,3 +108,13 @@ def test_shortened_versions(spark):
     rows = [("a", "s", EN, long, 1, 0), ("b", "s", EN, long[:40], 1, 0), ("c", "s", EN, "Something else altogether.", 1, 0), ("d", "s", EN, long, 1, 0)]
     texts = {r.text for r in P._edges(P.shortened(calls(spark, rows))).collect()}
     assert texts == {long[:40]}
+
+
+def test_beginnings_decide(spark):
+    """Inside a word of a longer version, and beside a longer answer to the same prompt; a whole answer to another prompt stays."""
+    word, whole = "- the old list of early notes", "The index keeps the list of notes. The run drops the page."
+    rows = [(f"l{i}", "s", EN, f"- item {chr(97 + i)} of the early notes\n- the early notes", 9, 0) for i in range(20)]
+    rows += [("a", "s", "Prompt one.", word, 9, 0), ("b", "s", "Prompt two.", word + "hop and of more.", 9, 0)]
+    rows += [("c", "s", "Prompt three.", whole[:34], 9, 0), ("d", "s", "Prompt three.", whole, 9, 0), ("e", "s", "Prompt four.", whole[:34], 9, 0), ("g", "s", None, whole[:34], 9, 0)]
+    got = {r.trace_id: r.defect for r in P.defects(calls(spark, rows)).collect()}
+    assert {i for i, d in got.items() if d == "truncated"} == {"a", "c"}
