@@ -35,10 +35,9 @@ from corpusloom.llm.sentences import units_of
 #: Lines in a window of the distribution, and the sum from which it surges.
 WINDOW = 5
 SURGE = 40
-#: Share of a language's pages from which a phrase is furniture, the least number of pages for that, and the longest phrase.
+#: Share of a language's pages from which a phrase is furniture, and the least number of pages for that.
 COMMON = 0.06
 LEAST_PAGES = 200
-PHRASE = 90
 
 #: Furniture phrases, lower case, digits masked by 0.
 PHRASES = frozenset(
@@ -93,11 +92,8 @@ def _masked(phrase: str, site: str) -> str:
 
 
 def phrases(line: str, site: str) -> list[str]:
-    """The masked phrases of a line whose frequency counts: the line, and the short parts of a menu (a breadcrumb's last part is a title)."""
-    parts = [line, *(_SEPARATOR.split(line)[:-1] if len(line) <= 4 * PHRASE else ())]
-    if len(parts) > 1 and max(map(len, parts[1:])) > 40:
-        parts = parts[:1]
-    masked = (_masked(p, site) for p in parts if 0 < len(p) <= PHRASE)
+    """The masked phrases of a line whose frequency counts, of any length: the line, and the parts of a menu (a breadcrumb's last part is a title)."""
+    masked = (_masked(p, site) for p in (line, *_SEPARATOR.split(line)[:-1]) if p)
     return [m for m in masked if any(c.isalpha() for c in m)]
 
 
@@ -124,7 +120,7 @@ class _Judge:
             return True
         if _COPYRIGHT.match(p) or _DATE.fullmatch(p):
             return True
-        return len(m) <= PHRASE and _key(self.lang, m) in self.common
+        return _key(self.lang, m) in self.common
 
     def furniture(self, line: str) -> bool:
         if self.phrase(line):

@@ -74,3 +74,13 @@ def test_document_frequencies_over_all_pages(spark, monkeypatch):
     pages = [(i, f"Strange notice of the house\nThe story of {'ab'[i % 2] * (i + 3)} is told in this line. It has two sentences, as the others.") for i in range(40)]
     df = spark.createDataFrame([(i, SITE, None, None, c) for i, c in pages], "item_id bigint, site string, title string, snippet string, content string").repartition(5)
     assert {(r.item_id, r.line_no) for r in B.furniture_lines(df).collect()} == {(i, 0) for i in range(40)}
+
+
+def test_long_notices_are_learnt(spark, monkeypatch):
+    monkeypatch.setattr(B, "LEAST_PAGES", 20)
+    notice = "Our house keeps a small jar of crumbs on your machine so that the pages remember which of the many doors you came in by last time."
+    menu = " | ".join([notice, "Strange door", "Odd window of the old house by the river and the sea"])
+    pages = [(i, f"{notice}\n{menu}\nThe story of {'ab'[i % 2] * (i + 3)} is told in this line. It has two sentences, as the others.") for i in range(40)]
+    assert len(notice) > 90 and B._masked(notice, "") in B.phrases(menu, "") and len(B.phrases("x / " * 200 + "y", "")) > 1
+    df = spark.createDataFrame([(i, f"s{i}.example", None, None, c) for i, c in pages], "item_id bigint, site string, title string, snippet string, content string").repartition(5)
+    assert {(r.item_id, r.line_no) for r in B.furniture_lines(df).collect()} == {(i, k) for i in range(40) for k in (0, 1)}
