@@ -5,7 +5,8 @@ main body lies between the points where the sums surge and dive.  Lines that are
 empty, wherever they stand, so notices inside an article don't end it and menus don't begin one:
 
 * furniture phrases of a fixed lexicon in several languages, alone or several in a line (menus, notices, footers);
-* phrases a large share of a language's pages holds (document frequency over all pages, domains and digits masked);
+* phrases a large share of a language's pages holds (document frequency over all pages, domains and digits masked), or a
+  large share of the articles of the page's own site;
 * breadcrumbs, dates alone in a line, lines that are one link;
 * teasers: from the heading of a list of other articles on, until the page's own title, its excerpt or running text of
   several sentences.
@@ -20,7 +21,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -35,9 +36,12 @@ from corpusloom.llm.sentences import units_of
 #: Lines in a window of the distribution, and the sum from which it surges.
 WINDOW = 5
 SURGE = 40
-#: Share of a language's pages from which a phrase is furniture, and the least number of pages for that.
+#: Share of a language's pages from which a phrase is furniture; it takes as many pages as that share of LEAST_PAGES at least.
 COMMON = 0.06
 LEAST_PAGES = 200
+#: Share of a site's articles from which a phrase is furniture there, and the least number of articles that hold it.
+SITE_COMMON = 0.2
+SITE_LEAST = 3
 
 #: Furniture phrases, lower case, digits masked by 0.
 PHRASES = frozenset(
@@ -98,6 +102,7 @@ def phrases(line: str, site: str) -> list[str]:
 
 
 def _key(lang: str, phrase: str) -> int:
+    """Of a language's phrase, or with '' of a site's."""
     return xxhash.xxh3_64_intdigest(f"{lang}\x00{phrase}") - (1 << 63)
 
 
@@ -109,9 +114,9 @@ def _inside() -> re.Pattern:
 
 
 class _Judge:
-    """Tells furniture lines of one page."""
+    """Tells furniture lines of one page; ``common``: keys of a language's phrases, and of a site's (see ``_key``)."""
 
-    def __init__(self, site: str, title: str, lang: str, common: frozenset):
+    def __init__(self, site: str, title: str, lang: str, common: Container[int]):
         self.site, self.title, self.lang, self.common = site, title, lang, common
 
     def phrase(self, p: str) -> bool:
@@ -120,7 +125,7 @@ class _Judge:
             return True
         if _COPYRIGHT.match(p) or _DATE.fullmatch(p):
             return True
-        return _key(self.lang, m) in self.common
+        return _key(self.lang, m) in self.common or _key("", m) in self.common
 
     def furniture(self, line: str) -> bool:
         if self.phrase(line):
@@ -162,7 +167,7 @@ def _crumb(texts: list[str]) -> str:
     return ""
 
 
-def body_lines(lines: list[str], site: str, title: str, excerpt: str, common: frozenset, lang: str) -> set[int]:
+def body_lines(lines: list[str], site: str, title: str, excerpt: str, common: Container[int], lang: str) -> set[int]:
     """The numbers of the non-blank lines that are main body."""
     judge = _Judge(site, title, lang, common)
     texts = [clean(x) for x in lines]
@@ -205,7 +210,7 @@ def body_lines(lines: list[str], site: str, title: str, excerpt: str, common: fr
     return {k for j, k in enumerate(at) if own[j] and high[0] <= j <= high[-1]}
 
 
-def _excerpt(snippet: str, site: str, title: str, common: frozenset, lang: str) -> str:
+def _excerpt(snippet: str, site: str, title: str, common: Container[int], lang: str) -> str:
     judge = _Judge(site, title, lang, common)
     for x in snippet.split("\n"):
         t = clean(x)
@@ -214,7 +219,7 @@ def _excerpt(snippet: str, site: str, title: str, common: frozenset, lang: str)
     return ""
 
 
-def furniture(item: int, site: str | None, title: str | None, snippet: str | None, content: str | None, common: frozenset) -> list[tuple[int, str, int]]:
+def furniture(item: int, site: str | None, title: str | None, snippet: str | None, content: str | None, common: Container[int]) -> list[tuple[int, str, int]]:
     """(item_id, field, line_no) of the non-blank lines that aren't main body."""
     out: list[tuple[int, str, int]] = []
     site, title = (site or "").strip(), clean(title or "")
@@ -265,7 +270,7 @@ def common_phrases(pages: DataFrame) -> frozenset:
     counts = counts.persist()
     try:
         total = {r.lang: r.n for r in counts.filter("phrase IS NULL").collect()}
-        keep = [F.lit(False)] + [(F.col("lang") == k) & (F.col("n") >= COMMON * n) for k, n in total.items() if n >= LEAST_PAGES]
+        keep = [F.lit(False)] + [(F.col("lang") == k) & (F.col("n") >= COMMON * max(n, LEAST_PAGES)) for k, n in total.items()]
         passed = keep[0]
         for c in keep[1:]:
             passed = passed | c
@@ -274,6 +279,60 @@ def common_phrases(pages: DataFrame) -> frozenset:
         counts.unpersist()
 
 
+class _Either:
+    """Keys of one set or another."""
+
+    def __init__(self, one: Container[int], other: Container[int]):
+        self.one, self.other = one, other
+
+    def __contains__(self, key: int) -> bool:
+        return key in self.one or key in self.other
+
+
+def site_phrases(pages: DataFrame) -> DataFrame:
+    """(site, keys): the phrases that at least SITE_COMMON of a site's articles hold, of the sites that have any.
+
+    Articles, not pages, count, since a page crawled twice repeats its article: pages of one title, or without one of one
+    dedupe_key where the table has it, are one.  A site has at most (phrases of an article) / SITE_COMMON keys.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = set()
+            for site, article, content in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                name = site.strip()
+                rows.add((site, None, article))
+                for x in set(content.split("\n")):
+                    rows.update((site, _key("", m), article) for m in phrases(clean(x), name))
+            cols = list(zip(*rows)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["site", "phrase", "article"])
+
+    named = F.when(F.trim("title") != "", F.trim("title"))
+    other = [F.col(c).cast("string") for c in ("dedupe_key", "item_id") if c in pages.columns]
+    own = pages.filter("trim(site) != '' AND content != ''").select("site", F.xxhash64(F.coalesce(named, *other)).alias("article"), "content")
+    held = own.mapInArrow(count, "site string, phrase bigint, article bigint").groupBy("site", "phrase", "article").agg(F.lit(1).alias("one"))
+    n = held.groupBy("site", "phrase").agg(F.count("*").alias("n")).filter((F.col("n") >= SITE_LEAST) | F.col("phrase").isNull())
+    per = n.groupBy("site").agg(F.max(F.when(F.col("phrase").isNull(), F.col("n"))).alias("articles"))
+    some = n.filter("phrase IS NOT NULL").join(per.filter(F.col("articles") >= SITE_LEAST), "site").filter(F.col("n") >= SITE_COMMON * F.col("articles"))
+    return some.groupBy("site").agg(F.collect_list("phrase").alias("keys"))
+
+
+def _with_phrases(pages: DataFrame) -> DataFrame:
+    """(item_id, site, title, snippet, content, keys) of the pages, with the phrases of their sites."""
+    cols = pages.select(F.col("item_id").cast("bigint"), "site", "title", "snippet", "content")
+    return cols.join(site_phrases(pages), "site", "left").select("item_id", "site", "title", "snippet", "content", "keys")
+
+
+def _judged(batch: pa.RecordBatch, common: frozenset) -> Iterator[tuple[tuple, list[tuple[int, str, int]]]]:
+    """Each page of a batch of ``_with_phrases`` and its lines that aren't main body."""
+    sites: dict[str | None, frozenset] = {}
+    names, keys = batch.column(1).to_pylist(), batch.column(5)
+    for k, page in enumerate(zip(*(batch.column(i).to_pylist() for i in range(5)))):
+        if names[k] not in sites:
+            sites[names[k]] = frozenset(keys[k].as_py() or ())
+        yield page, furniture(*page, _Either(common, sites[names[k]]))
+
+
 def furniture_lines(pages: DataFrame) -> DataFrame:
     """(item_id, field, line_no) of every non-blank line that isn't main body."""
     shared = pages.sparkSession.sparkContext.broadcast(common_phrases(pages))
@@ -281,14 +340,13 @@ def furniture_lines(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for r in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                rows += furniture(*r, shared.value)
+            for _, found in _judged(batch, shared.value):
+                rows += found
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32())], names=["item_id", "field", "line_no"]
             )
 
-    cols = pages.select(F.col("item_id").cast("bigint"), "site", "title", "snippet", "content")
-    return cols.mapInArrow(run, "item_id bigint, field string, line_no int").distinct()
+    return _with_phrases(pages).mapInArrow(run, "item_id bigint, field string, line_no int").distinct()
 
 
 def main_bodies(pages: DataFrame) -> DataFrame:
@@ -301,12 +359,10 @@ def main_bodies(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], []]
-            for item, site, title, snippet, content in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                rows = furniture(item, site, title, snippet, content, shared.value)
+            for (item, _, _, snippet, content), rows in _judged(batch, shared.value):
                 out[0].append(item)
                 out[1].append(keep(content, {k for _, f, k in rows if f == "content"}))
                 out[2].append(keep(snippet, {k for _, f, k in rows if f == "snippet"}))
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], names=["item_id", "content", "snippet"])
 
-    cols = pages.select(F.col("item_id").cast("bigint"), "site", "title", "snippet", "content")
-    return cols.mapInArrow(run, "item_id bigint, content string, snippet string")
+    return _with_phrases(pages).mapInArrow(run, "item_id bigint, content string, snippet string")

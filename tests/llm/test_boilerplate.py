@@ -84,3 +84,15 @@ def test_long_notices_are_learnt(spark, monkeypatch):
     assert len(notice) > 90 and B._masked(notice, "") in B.phrases(menu, "") and len(B.phrases("x / " * 200 + "y", "")) > 1
     df = spark.createDataFrame([(i, f"s{i}.example", None, None, c) for i, c in pages], "item_id bigint, site string, title string, snippet string, content string").repartition(5)
     assert {(r.item_id, r.line_no) for r in B.furniture_lines(df).collect()} == {(i, k) for i in range(40) for k in (0, 1)}
+
+
+def test_furniture_of_a_small_site(spark):
+    """A site of five articles has its own furniture; a page crawled thrice and a site of one page have none to learn from."""
+    story = lambda i: f"The story of {'ab'[i % 2] * (i + 3)} is told in this line. It has two sentences, as the others."
+    page = lambda i: f"Strange door of our house\n{story(i)}\n{story(i + 50)}"
+    rows = [(i, "small.example", f"Title {i}", "Strange door of our house\n" + story(i), page(i)) for i in range(5)]
+    rows += [(10 + i, "twice.example", "One title", None, page(7)) for i in range(3)] + [(20, "other.example", "Another title", None, page(9))]
+    schema = "item_id bigint, site string, title string, snippet string, content string"
+    got = {tuple(r) for r in B.furniture_lines(spark.createDataFrame(rows, schema).repartition(4)).collect()}
+    assert got == {(i, f, 0) for i in range(5) for f in ("content", "snippet")}
+    assert {r.site: len(r["keys"]) for r in B.site_phrases(spark.createDataFrame(rows, schema)).collect()} == {"small.example": 1}
