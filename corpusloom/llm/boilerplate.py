@@ -1,7 +1,9 @@
 """Page boilerplate mixed with main content (problem 1).
 
 Method: line-block distribution.  Markup is stripped, text lengths are summed over sliding windows of lines, and the
-main body lies between the points where the sums surge and dive.  Lines that are furniture by themselves count as
+main body lies between the points where the sums surge and dive.  What surges and dives is told by the page's own mean sum:
+the body begins and ends where sums around one of the mean fall under a share of it, and short lines that are no
+sentence, list item, subhead or table row don't begin or end it.  Lines that are furniture by themselves count as
 empty, wherever they stand, so notices inside an article don't end it and menus don't begin one:
 
 * furniture phrases of a fixed lexicon in several languages, alone or several in a line (menus, notices, footers);
@@ -33,9 +35,12 @@ from pyspark.sql import functions as F
 from corpusloom.llm.language import language
 from corpusloom.llm.sentences import units_of
 
-#: Lines in a window of the distribution, and the sum from which it surges.
+#: Lines in a window of the distribution; the body has windows of SURGE times the page's mean sum and goes on to DIVE times it.
 WINDOW = 5
-SURGE = 40
+SURGE = 1.0
+DIVE = 0.2
+#: Share of the length of the page's mean line, weighed by length, under which a line is light.
+LIGHT = 0.15
 #: Share of a language's pages from which a phrase is furniture; it takes as many pages as that share of LEAST_PAGES at least.
 COMMON = 0.06
 LEAST_PAGES = 200
@@ -194,20 +199,41 @@ def body_lines(lines: list[str], site: str, title: str, excerpt: str, common: Co
                 continue
             teaser = False
         length[k] = len(t)
-    # the line-block distribution over non-blank lines: sums of windows, surge and dive
+    # the line-block distribution over non-blank lines: means of windows, surge and dive
     at = [k for k, t in enumerate(texts) if t]
-    if not at:
+    if not length.any():
         return set()
     own = length[at]
     half = WINDOW // 2
     total = np.concatenate([np.zeros(half + 1, dtype=np.int64), np.cumsum(own), np.full(half, own.sum())])
-    sums = total[WINDOW:] - total[:-WINDOW]
-    high = np.flatnonzero(sums >= SURGE)
-    if not len(high):
-        high = np.flatnonzero(sums > 0)
-    if not len(high):
-        return set()
-    return {k for j, k in enumerate(at) if own[j] and high[0] <= j <= high[-1]}
+    # at the edges a window has fewer lines
+    place = np.arange(len(own))
+    sums = (total[WINDOW:] - total[:-WINDOW]) / (np.minimum(place, half) + np.minimum(len(own) - 1 - place, half) + 1)
+    mean = sums[sums > 0].mean()
+    # the line that the page's mean character stands in: many short lines don't pull it down
+    light = LIGHT * (own * own).sum() / own.sum()
+    # lines known as furniture don't stop the body, nor does a sentence standing among them
+    on = (sums >= DIVE * mean) | (own == 0) | np.array([own[j] >= light and bool(_STOPS.search(texts[k][-8:])) for j, k in enumerate(at)])
+    high = np.flatnonzero(sums >= SURGE * mean)
+    start, stop = int(high[0]), int(high[-1])
+    while start > 0 and on[start - 1]:
+        start -= 1
+    while stop + 1 < len(at) and on[stop + 1]:
+        stop += 1
+    if first >= 0:
+        start = at.index(first)
+    body = [k for k in at[start : stop + 1] if length[k]]
+    # a window also holds lines beyond the last paragraph: light ones at either end are no body, but for a title the page doesn't tell
+    heavy = [j for j, k in enumerate(body) if k == first or length[k] >= light or _closed(texts[k])]
+    if not heavy:
+        return set(body)
+    begin = heavy[0] - 1 if heavy[0] and not title and first < 0 else heavy[0]
+    return set(body[begin : heavy[-1] + 1])
+
+
+def _closed(line: str) -> bool:
+    """Whether a line, however short, is a sentence, list item, subhead or table row."""
+    return bool(_MARKED.match(line) or " | " in line or _STOPS.search(line[-8:]))
 
 
 def _excerpt(snippet: str, site: str, title: str, common: Container[int], lang: str) -> str:

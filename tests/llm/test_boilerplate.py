@@ -96,3 +96,15 @@ def test_furniture_of_a_small_site(spark):
     got = {tuple(r) for r in B.furniture_lines(spark.createDataFrame(rows, schema).repartition(4)).collect()}
     assert got == {(i, f, 0) for i in range(5) for f in ("content", "snippet")}
     assert {r.site: len(r["keys"]) for r in B.site_phrases(spark.createDataFrame(rows, schema)).collect()} == {"small.example": 1}
+
+
+def test_short_line_blocks_go_without_a_lexicon(monkeypatch):
+    """Menus before and after an article in unheard-of words are told by the page's own distribution."""
+    monkeypatch.setattr(B, "PHRASES", frozenset())
+    monkeypatch.setattr(B, "TEASERS", frozenset())
+    monkeypatch.setattr(B, "_inside", lambda: B.re.compile("(?!)"))
+    menu = ["Odd door", "Wide window", "Terms of use", "Privacy notice", "Low cellar", "Red attic"]
+    story = [f"The story number {i} runs on through many a long line, and nobody minds. It has three sentences, as the others have. They are of the usual length of a paragraph in prose." for i in range(6)]
+    page = menu + story[:3] + ["## A subhead", "- one item", "- another item"] + story[3:] + ["So it ends."] + menu
+    assert found("\n".join(page), None, None)[0] == {*range(5), *range(16, 22)}
+    assert found("\n".join(page), None, "Unseen title")[0] == {*range(6), *range(16, 22)}
