@@ -217,7 +217,8 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = 0.86, cell: int =
     few = whole.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1)
     points = stages.cut(few.groupBy("dim", "key").agg(F.sort_array(F.collect_list("vec_id")).alias("members"), F.first("unit").alias("unit"), F.first("proj").alias("proj")).withColumn("rep", F.col("members")[0]))
     trees = _plan(points)
-    start = 2 - 2 * least
+    # without a least similarity nothing is out of reach until k are found, and rounding under -1 loses none
+    start, least = (2 - 2 * least, least) if least > -1 else (float("inf"), -2.0)
     shared = spark.sparkContext.broadcast(trees)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

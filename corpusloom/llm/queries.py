@@ -61,8 +61,8 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """Up to 5 most similar vectors of every vector, with their similarity."""
-    return neighbours.neighbours(spread(table(spark, d, "embedding_cache")))
+    """The 5 most similar vectors of every vector, however similar, with their similarity."""
+    return neighbours.neighbours(spread(table(spark, d, "embedding_cache")), least=-1.0)
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import numpy as np
 
 from corpusloom.llm import neighbours as N
+from corpusloom.llm import queries as Q
 
 SCHEMA = "vec_id bigint, embedding array<float>, dim int, proj string"
 
@@ -53,3 +54,18 @@ def test_large_group_of_copies_stays_linear(spark):
 
 def test_empty(spark):
     assert N.similar_pairs(frame(spark, {})).count() == 0
+
+
+def test_query_gives_five_for_every_vector(spark, tmp_path):
+    """However far away they are: vectors without structure, and a pair of opposite ones of another width."""
+    v = {i: x for i, x in enumerate(np.random.default_rng(3).standard_normal((300, 24)).astype(np.float32))} | {900: np.array([1.0, 2.0]), 901: np.array([-1.0, -2.0])}
+    frame(spark, v).write.parquet(str(tmp_path / "embedding_cache.parquet"))
+    got = {}
+    for r in Q.p7_neighbours(spark, str(tmp_path)).collect():
+        got.setdefault(r.vec_id, {})[r.other] = r.similarity
+    assert len(got) == 302 and all(len(o) == 5 for i, o in got.items() if i < 900) and got[900].keys() == {901} and got[901].keys() == {900}
+    x = np.array([v[i] / np.linalg.norm(v[i]) for i in range(300)])
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    hit = sum(len(set(np.argsort(-s[i])[:5].tolist()) & got[i].keys()) for i in range(300))
+    assert hit >= 0.98 * 1500
