@@ -192,13 +192,13 @@ def usable(vectors: DataFrame) -> DataFrame:
     return cols.mapInArrow(run, "vec_id bigint, dim int, key binary, unit array<float>, proj array<float>").dropDuplicates(["vec_id"])
 
 
-def _plan(points: DataFrame) -> dict[int, Tree]:
+def _plan(points: DataFrame, cell: int = CELL) -> dict[int, Tree]:
     """A tree per dim over a bounded sample of the projections."""
     trees = {}
     for r in points.groupBy("dim").count().collect():
         share = min(1.0, SAMPLE / r["count"])
         pick = points.filter((F.col("dim") == r.dim) & (F.pmod(F.xxhash64("rep"), F.lit(1_000_000)) < int(share * 1_000_000)))
-        leaves = 2 ** int(np.ceil(np.log2(max(1, r["count"] / CELL))))
+        leaves = 2 ** int(np.ceil(np.log2(max(1, r["count"] / cell))))
         leaves = min(leaves, SAMPLE // 16)
         if leaves > 1:
             sample = np.array([x.proj for x in pick.select("proj").collect()], dtype=np.float32)
@@ -216,7 +216,7 @@ def neighbours(vectors: DataFrame, k: int = 5, least: float = 0.86, cell: int =
     # the least ids of each group of copies: a window limit, cut down to k + 1 rows per group before the shuffle
     few = whole.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1)
     points = stages.cut(few.groupBy("dim", "key").agg(F.sort_array(F.collect_list("vec_id")).alias("members"), F.first("unit").alias("unit"), F.first("proj").alias("proj")).withColumn("rep", F.col("members")[0]))
-    trees = _plan(points)
+    trees = _plan(points, cell)
     # without a least similarity nothing is out of reach until k are found, and rounding under -1 loses none
     start, least = (2 - 2 * least, least) if least > -1 else (float("inf"), -2.0)
     shared = spark.sparkContext.broadcast(trees)

@@ -69,3 +69,13 @@ def test_query_gives_five_for_every_vector(spark, tmp_path):
     np.fill_diagonal(s, -2)
     hit = sum(len(set(np.argsort(-s[i])[:5].tolist()) & got[i].keys()) for i in range(300))
     assert hit >= 0.98 * 1500
+
+
+def test_cells_are_used(spark, monkeypatch):
+    plan, trees = N._plan, {}
+    monkeypatch.setattr(N, "_plan", lambda *a: trees.update(plan(*a)) or trees)
+    v = data(1200)
+    want = brute({i: x.astype(float) for i, x in v.items()}, 5, 0.86)
+    near = N.neighbours(frame(spark, v), 5, 0.86, cell=100)
+    got = {(min(r.vec_id, r.other), max(r.vec_id, r.other)) for r in near.collect()}
+    assert trees[24].leaves == 16 and len(want & got) >= 0.98 * len(want) and not got - want
