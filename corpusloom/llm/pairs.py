@@ -40,6 +40,12 @@ PLACEHOLDERS = frozenset(
 )
 _TAGS = re.compile(r"<[^<>]*>")
 _ERROR = re.compile(r"^\[?(?:llm )?(?:error|exception|traceback|failure|fehler|erreur)\b[^\n]{0,200}$", re.I)
+#: The same over any length and several lines: a header with its message, then nothing but stack frames, causes and fields.
+_LONG_ERROR = re.compile(
+    r"^\[?(?:llm )?(?:traceback \(most recent call last\):|(?:[\w.]*(?:error|exception|failure)|fehler|erreur)(?: \w{1,20})?\s*[:\]])[^\n]*"
+    r"(?:\n(?>(?:[ \t\r]*|[ \t]+\S[^\n]*|at [^\n]*|file \"[^\n]*|caused by\b[^\n]*|during handling of [^\n]*|the above exception [^\n]*|traceback \([^\n]*|[\w.]*(?:error|exception)\b:?[^\n]*|[\w-]+(?: id| code)?\s*[:=] ?\S+)(?=\n|$)))*+$",
+    re.I,
+)
 #: Messages of failed calls that stand for a response.
 _FAILURES = re.compile(r"^(?:request timed out|connection reset|rate limit|context length exceeded|upstream closed|service unavailable|internal server error|bad gateway)[^\n]{0,80}$", re.I)
 #: Fixed patterns: sentences that decline.
@@ -90,19 +96,17 @@ def is_empty(response: str | None, error: str | None) -> bool:
     t = response.strip()
     if not any(c.isalnum() for c in t):
         return t != "[]"
-    if len(t) > 300:
-        return False
+    if error and t.lower() == error.strip().lower():
+        return True
     if t[0] == "<" and not any(c.isalnum() for c in _TAGS.sub("", t)):
         return True
     bare = t.strip("*_#>-–—`()[] \t\r\n").lower()
     if bare in PLACEHOLDERS or bare.rstrip(":.") in PLACEHOLDERS:
         return True
-    return bool(_ERROR.match(t) or _FAILURES.match(t)) or bool(error) and t.lower() == error.strip().lower()
+    return bool(_ERROR.match(t) or _FAILURES.match(t) or _LONG_ERROR.match(t))
 
 
 def is_refusal(response: str) -> bool:
-    if len(response) > 600:
-        return False
     low = response.lower()
     if not any(h in low for h in _HINTS) or not _DECLINE.search(response):
         return False

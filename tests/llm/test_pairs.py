@@ -118,3 +118,14 @@ def test_beginnings_decide(spark):
     rows += [("c", "s", "Prompt three.", whole[:34], 9, 0), ("d", "s", "Prompt three.", whole, 9, 0), ("e", "s", "Prompt four.", whole[:34], 9, 0), ("g", "s", None, whole[:34], 9, 0)]
     got = {r.trace_id: r.defect for r in P.defects(calls(spark, rows)).collect()}
     assert {i for i, d in got.items() if d == "truncated"} == {"a", "c"}
+
+
+def test_long_errors_and_refusals():
+    frames = "".join(f'  File "/srv/app/worker_{i}.py", line {i}, in call\n    reply = send(request)\n' for i in range(12))
+    for r in (f"Traceback (most recent call last):\n{frames}TimeoutError: no reply", "Error: the upstream gave no reply. " + "It was asked again and again. " * 12, "java.io.IOException: closed\n" + "\tat org.example.Call.run(Call.java:7)\n" * 20):
+        assert len(r) > 300 and P.features(EN, r, None)[0] == "empty"
+    own = "The quota of this account is used up for now. " * 10
+    assert P.features(EN, own, own.upper())[0] == "empty" and P.features(EN, own, "x")[0] != "empty"
+    assert P.features(EN, "I'm sorry, but I can't help with this. Please try a different question. " * 12, None)[0] == "refusal"
+    for r in ("Error: the passage has one.\nThe index keeps the list of notes, which the run drops from the page. " * 6, "Error bars are given in the passage. " * 12):
+        assert P.features(EN, r, None)[0] != "empty"
