@@ -29,10 +29,33 @@ def test_quantile():
     assert abs(N.chi_square_quantile(0.99, 12) - 26.217) < 0.1
 
 
+def test_tail_and_sides():
+    assert [round(N.chi_square_tail(k, x), 4) for k, x in ((1, 3.841), (2, 5.991), (5, 11.07), (8, 15.507))] == [0.05] * 4
+    sides = N.reach_of_sides(0.05)
+    assert np.isinf(sides[0]) and np.isnan(sides[5:]).all() and (np.diff(sides[1:5]) < sides[1]).all()
+    assert abs(0.5**2 * N.chi_square_tail(2, float(sides[2])) - 0.05) < 1e-4
+
+
+def test_few_cells_are_visited_and_few_points_verified():
+    """At 20,000 points a query for pairs of 0.86 verifies under 1 % of them, and finds the pairs at the edge."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((20_000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side = rng.standard_normal((300, 64)).astype(np.float32)
+    side -= (side * x[:300]).sum(1)[:, None] * x[:300]
+    q = 0.87 * x[:300] + np.sqrt(1 - 0.87**2) * side / np.linalg.norm(side, axis=1)[:, None]
+    d = N.directions(64)
+    tree, verified = N.Tree(x @ d, 64), []
+    needed = tree.needed(q @ d, N.reach_of_sides(N.CHANCE))
+    best, _ = N.search(np.arange(20_000), x, x @ d, tree, np.arange(20_000, 20_300), q, q @ d, np.full(300, 0.28), 5, 0.86, N.reach_of_sides(N.CHANCE), verified)
+    assert (needed <= 0.28).mean() < 0.25 and sum(verified) < 0.01 * 300 * 20_000
+    assert (best[:, 0] == np.arange(300)).mean() >= 0.9
+
+
 def test_against_brute_force_in_many_cells(spark):
     v = data(1200)
     want = brute({i: x.astype(float) for i, x in v.items()}, 5, 0.86)
-    near = N.neighbours(frame(spark, v), 5, 0.86, cell=100)
+    near = N.neighbours(frame(spark, v), 5, 0.86, block=100)
     got = {(min(r.vec_id, r.other), max(r.vec_id, r.other)) for r in near.collect()}
     assert len(want) > 300 and len(want & got) >= 0.98 * len(want) and not got - want
 
@@ -76,6 +99,6 @@ def test_cells_are_used(spark, monkeypatch):
     monkeypatch.setattr(N, "_plan", lambda *a: trees.update(plan(*a)) or trees)
     v = data(1200)
     want = brute({i: x.astype(float) for i, x in v.items()}, 5, 0.86)
-    near = N.neighbours(frame(spark, v), 5, 0.86, cell=100)
+    near = N.neighbours(frame(spark, v), 5, 0.86, block=100)
     got = {(min(r.vec_id, r.other), max(r.vec_id, r.other)) for r in near.collect()}
-    assert trees[24].leaves == 16 and len(want & got) >= 0.98 * len(want) and not got - want
+    assert trees[24][0].leaves == 16 and len(want & got) >= 0.98 * len(want) and not got - want
