@@ -1,14 +1,15 @@
 """Broken prompt and response pairs (problem 2).
 
-Method: responses are sorted by text and neighbours' common prefixes compared, which finds shortened versions: one that
-breaks off inside a word of its longer version is cut whatever the corpus says of its tail, one that has a longer version
-for the same prompt is cut whatever its ending; spikes of the length distribution give limits at which answers are cut (see ``truncation``); then rules for copies, refusals and
+Method: responses are sorted by text and neighbours' common prefixes compared, which finds shortened versions: evidence of a
+cut is that one breaks off inside a word of its longer version, or that it has a longer version for the same prompt; the
+same comparison over the sorted tails of all responses tells broken words.  Spikes of the length distribution give limits at
+which answers are cut; the posterior of a cut combines these (see ``truncation``).  Then rules for copies, refusals and
 languages apply.  Each defective pair gets one defect, the first that holds of:
 
 * ``empty``: null, blank, a placeholder or nothing but an error message;
 * ``refusal``: after a courtesy, every sentence declines or excuses the declining;
 * ``copy``: most word runs of the answer stand in the prompt, unless the prompt asks for a copy;
-* ``truncated``: the answer stops before its end;
+* ``truncated``: the answer stops before its end (posterior over one half);
 * ``language``: most of the answer is in another language than the prompt's, or than the one it asks for.
 
 ``status`` and ``error`` decide nothing, but a response that repeats its own ``error`` is an error message.
@@ -86,6 +87,8 @@ _ASKS_LANGUAGE = re.compile(
 )
 _WORD = re.compile(r"[぀-ヿ一-鿿ก-๎]|[^\W_]+")
 _FENCED = re.compile(r"```.*?(?:```|$)", re.S)
+_QUOTED_LINE = re.compile(r"^\s*>.*$", re.M)
+_QUOTED = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|「[^」\n]*」")
 RUN = 4
 COPIED = 0.8
 
@@ -106,6 +109,10 @@ def is_empty(response: str | None, error: str | None) -> bool:
     return bool(_ERROR.match(t) or _FAILURES.match(t) or _LONG_ERROR.match(t))
 
 
+def holds_text(response: str | None, error: str | None) -> bool:
+    return not is_empty(response, error)
+
+
 def is_refusal(response: str) -> bool:
     low = response.lower()
     if not any(h in low for h in _HINTS) or not _DECLINE.search(response):
@@ -116,9 +123,10 @@ def is_refusal(response: str) -> bool:
 
 
 def instruction(prompt: str) -> str:
-    """The paragraphs at either end of a prompt, where what it asks for stands; of a prompt under headings, the first section."""
-    parts = [p for p in prompt.split("\n\n") if p.strip()]
-    return parts[0] + "\n" + parts[-1] if parts else ""
+    """A prompt without its quoted material: fenced blocks, quoted lines and what stands in quotation marks."""
+    text = _FENCED.sub(" ", prompt) if "```" in prompt else prompt
+    text = _QUOTED_LINE.sub("", text) if ">" in text else text
+    return _QUOTED.sub(" ", text) if any(q in text for q in "\"“„«「") else text
 
 
 def is_copy(prompt: str, words: list[str], asked: list[str]) -> bool:
@@ -153,29 +161,33 @@ def is_foreign(prompt: str, response: str, words: list[str], asked: list[str]) -
     """Whether most of the answer is in another language than it should be."""
     fenced = "```" in response
     text = _FENCED.sub(" ", response) if fenced else response
-    if len(text) < 8 or text.lstrip()[:1] in "[{|":
+    if text.lstrip()[:1] in "[{|":
         return False
     got = language(text, None if fenced else Counter(words))
     if not got:
         return False
     want = asked_language(prompt) or language(prompt, Counter(asked))
-    if not want or got == want:
-        return False
-    return sum(c.isalpha() for c in text) >= 8
+    return bool(want) and got != want
 
 
-def features(prompt: str | None, response: str | None, error: str | None) -> tuple[str | None, str | None, int | None]:
-    """(defect by the rules other than truncation, ending, tail key); a foreign language is only a candidate while an ending is open."""
+def rules(prompt: str | None, response: str | None, error: str | None) -> str | None:
+    """The defect by the rules other than truncation."""
     if is_empty(response, error):
-        return "empty", None, None
+        return "empty"
     if is_refusal(response):
-        return "refusal", None, None
-    words, asked = _WORD.findall(response.lower()), _WORD.findall(prompt.lower()) if prompt else []
-    if prompt and is_copy(prompt, words, asked):
-        return "copy", None, None
-    how = truncation.ending(response)
-    key = truncation.open_key(response) if how == truncation.OPEN_TAIL else None
-    return ("language" if prompt and is_foreign(prompt, response, words, asked) else None), how, key
+        return "refusal"
+    if not prompt:
+        return None
+    words, asked = _WORD.findall(response.lower()), _WORD.findall(prompt.lower())
+    if is_copy(prompt, words, asked):
+        return "copy"
+    return "language" if is_foreign(prompt, response, words, asked) else None
+
+
+def features(prompt: str | None, response: str | None, error: str | None) -> tuple:
+    """(defect by the rules, then ``truncation.evidence`` of what may be an answer)."""
+    defect = rules(prompt, response, error)
+    return defect, *truncation.evidence(response, defect in (None, "language"))
 
 
 def shortened(calls: DataFrame, by_prompt: bool = False) -> DataFrame:
@@ -222,7 +234,7 @@ def prompt_key() -> Column:
 
 
 def _begins(short: str, long: str) -> bool:
-    return len(long) > len(short) >= 12 and long.startswith(short) and (" " in short.strip() or not short.isascii())
+    return len(long) > len(short) and long.startswith(short) and (" " in short.strip() or not short.isascii())
 
 
 def _in_word(short: str, long: str) -> bool:
@@ -242,7 +254,8 @@ def _edges(found: DataFrame) -> DataFrame:
     return inner.unionByName(inner.sparkSession.createDataFrame(extra, "text string, p bigint, inword boolean")) if extra else inner
 
 
-_FEATURES = "trace_id string, ingested_at timestamp, source string, h bigint, defect string, how string, tail bigint, chars bigint, tokens bigint, p bigint"
+#: What a beginning weighs as evidence of a cut, as a log ratio: inside a word of its longer version, or beside a longer answer to the same prompt.
+BROKEN, AGAIN = 9.0, 9.0
 
 
 def defects(calls: DataFrame) -> DataFrame:
@@ -250,48 +263,14 @@ def defects(calls: DataFrame) -> DataFrame:
     stages = Stages(calls.sparkSession, "pairs")
     cols = calls.select(
         clean_id("trace_id").alias("trace_id"), F.col("ingested_at").cast("timestamp").alias("ingested_at"), F.coalesce("stage", F.lit("unknown")).alias("source"), F.xxhash64(F.rtrim("response_text")).alias("h"),
-        F.col("completion_tokens").cast("bigint").alias("tokens"), "prompt_text", "response_text", "error", prompt_key().alias("p"),
+        F.col("completion_tokens").cast("bigint").alias("tokens"), prompt_key().alias("p"), "prompt_text", "response_text", "error",
     ).filter("trace_id IS NOT NULL")
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for p, r, e in zip(*(batch.column(i).to_pylist() for i in (5, 6, 7))):
-                for col, v in zip(out, (*features(p, r, e), len(r) if r else 0)):
-                    col.append(v)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(4)), pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), batch.column(4), batch.column(8)],
-                names=["trace_id", "ingested_at", "source", "h", "defect", "how", "tail", "chars", "tokens", "p"],
-            )
-
-    each = stages.cut(cols.mapInArrow(judge, _FEATURES))
-    kinds = F.explode(F.array(F.struct(F.lit("chars").alias("kind"), F.col("chars").alias("n")), F.struct(F.lit("tokens").alias("kind"), F.col("tokens").alias("n")))).alias("m")
-    own = "how IS NOT NULL AND (defect IS NULL OR defect = 'language')"
-    near = truncation.candidates(each.filter(own).select("source", kinds).select("source", "m.*"))
-    at_candidate = truncation.at_any(near, F.coalesce("stage", F.lit("unknown")), {"chars": F.length("response_text"), "tokens": F.col("completion_tokens")})
-    tails = calls.sparkSession.sparkContext.broadcast(truncation.natural_tails(calls, "response_text", at_candidate))
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            t = tails.value
-            # a natural tail stays "tail": less sure than a natural ending
-            how = ["cut" if h == "tail" and k not in t else h for h, k in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(how, pa.string()), *(batch.column(i) for i in range(6, 10))], names=batch.schema.names)
-
-    ended = stages.cut(each.mapInArrow(settle, _FEATURES))
-    # limits of the lengths: of values with an answer of their own only
-    found = truncation.limits(ended.filter(own).select("source", (F.col("how") != "cut").alias("natural"), kinds).select("source", "m.kind", "m.n", "natural"))
-    sure = {k: [n for n, p in by.items() if p > 0.5] for k, by in found.items()}
-    at_limit = truncation.at_any(sure, F.col("source"), {"chars": F.col("chars"), "tokens": F.col("tokens")})
-    # beginnings: inside a word the corpus has no say; a longer answer to the same prompt outweighs a full stop; other ones with a natural ending are answers of their own
-    short = _edges(stages.cut(shortened(calls))).filter("inword").select(F.xxhash64("text").alias("h"), F.lit(True).alias("broken")).distinct()
+    each, counts = truncation.scan(cols, "trace_id string, ingested_at timestamp, source string, h bigint, tokens bigint, p bigint", 6, 7, features, "defect string, " + truncation.EVIDENCE)
+    # beginnings of longer responses are evidence of a cut beside the ending, the lengths and the tokens
+    short = _edges(stages.cut(shortened(calls))).groupBy(F.xxhash64("text").alias("h")).agg(F.max("inword").alias("broken"))
     again = _edges(stages.cut(shortened(calls, by_prompt=True))).select("p", F.xxhash64("text").alias("h"), F.lit(True).alias("again")).distinct()
-    judged = ended.join(short, "h", "left").join(again, ["p", "h"], "left").withColumn(
-        "defect",
-        F.when(F.col("defect").isin("empty", "refusal", "copy"), F.col("defect"))
-        .when((F.col("how") == "cut") | at_limit, "truncated")
-        .when((F.col("broken") & (F.col("how") == "tail")) | F.col("again"), "truncated")
-        .otherwise(F.col("defect")),
-    )
+    begun = each.join(short, "h", "left").join(again, ["p", "h"], "left")
+    hints = F.when(F.col("again"), AGAIN).otherwise(0.0) + F.when(F.col("broken"), BROKEN).otherwise(0.0)
+    judged = truncation.judged(begun, counts, hints).withColumn("defect", F.when(F.col("own") & (F.col("cut") > 0.5), "truncated").otherwise(F.col("defect")))
     last = judged.groupBy("trace_id").agg(F.max_by(F.struct("source", "defect"), F.struct("ingested_at", "h")).alias("r"))
     return last.select("trace_id", F.col("r.source").alias("stage"), F.col("r.defect").alias("defect"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import boilerplate, chunking, neighbours, packing, pairs, sentences, tokenizer
+from corpusloom.llm import boilerplate, chunking, neighbours, packing, pairs, sentences, tokenizer, truncation
 from corpusloom.sources.tables import spread, table
 
 CONTAINER_TOKENS = 2048
@@ -32,15 +32,19 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.defects(spread(table(spark, d, "llm_calls"))).filter("defect IS NOT NULL").select("trace_id", "defect")
 
 
+def _cut(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.cut_calls(spread(table(spark, d, "llm_calls")), pairs.holds_text)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """The calls whose response was cut, with their stage."""
-    return pairs.defects(spread(table(spark, d, "llm_calls"))).filter("defect = 'truncated'").select("trace_id", "stage")
+    return _cut(spark, d).filter("cut").select("trace_id", "stage")
 
 
 def p5_rates(spark: SparkSession, d: str) -> DataFrame:
     """How often each stage truncates."""
-    cut = F.sum(F.when(F.col("defect") == "truncated", 1).otherwise(0))
-    return pairs.defects(spread(table(spark, d, "llm_calls"))).groupBy("stage").agg(F.count("*").alias("calls"), cut.alias("cut"), (cut / F.count("*")).alias("share"))
+    cut = F.sum(F.when(F.col("cut"), 1).otherwise(0))
+    return _cut(spark, d).groupBy("stage").agg(F.count("*").alias("calls"), cut.alias("cut"), (cut / F.count("*")).alias("share"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -64,18 +64,6 @@ def test_endings(text, how):
     assert T.ending(text) == how
 
 
-def test_censored_fit_recovers_the_parameters():
-    import math
-    import random
-
-    rnd = random.Random(1)
-    values = [math.exp(rnd.gauss(5, 0.6)) for _ in range(20_000)]
-    limit = 200
-    free = [(math.log(v), 1) for v in values if v < limit]
-    mu, sd = T.fit_censored(free, [(math.log(limit), sum(v >= limit for v in values))])
-    assert abs(mu - 5) < 0.05 and abs(sd - 0.6) < 0.05
-
-
 SCHEMA = "trace_id string, stage string, prompt_text string, response_text string, completion_tokens bigint, status string, error string, ingested_at timestamp, defect string"
 T0 = datetime(2025, 1, 1)
 
@@ -113,9 +101,9 @@ def test_shortened_versions(spark):
 def test_beginnings_decide(spark):
     """Inside a word of a longer version, and beside a longer answer to the same prompt; a whole answer to another prompt stays."""
     word, whole = "- the old list of early notes", "The index keeps the list of notes. The run drops the page."
-    rows = [(f"l{i}", "s", EN, f"- item {chr(97 + i)} of the early notes\n- the early notes", 9, 0) for i in range(20)]
-    rows += [("a", "s", "Prompt one.", word, 9, 0), ("b", "s", "Prompt two.", word + "hop and of more.", 9, 0)]
-    rows += [("c", "s", "Prompt three.", whole[:34], 9, 0), ("d", "s", "Prompt three.", whole, 9, 0), ("e", "s", "Prompt four.", whole[:34], 9, 0), ("g", "s", None, whole[:34], 9, 0)]
+    rows = [(f"l{i}", "s", EN, f"- item {chr(97 + i)} of the early notes\n- the early notes", None, 0) for i in range(20)]
+    rows += [("a", "s", "Prompt one.", word, None, 0), ("b", "s", "Prompt two.", word + "hop and of more.", None, 0)]
+    rows += [("c", "s", "Prompt three.", whole[:34], None, 0), ("d", "s", "Prompt three.", whole, None, 0), ("e", "s", "Prompt four.", whole[:34], None, 0), ("g", "s", None, whole[:34], None, 0)]
     got = {r.trace_id: r.defect for r in P.defects(calls(spark, rows)).collect()}
     assert {i for i, d in got.items() if d == "truncated"} == {"a", "c"}
 
