@@ -255,7 +255,7 @@ def _edges(found: DataFrame) -> DataFrame:
 
 
 #: What a beginning weighs as evidence of a cut, as a log ratio: inside a word of its longer version, or beside a longer answer to the same prompt.
-BROKEN, AGAIN = 9.0, 9.0
+BROKEN, AGAIN = 12.0, 9.0
 
 
 def defects(calls: DataFrame) -> DataFrame:
