@@ -81,6 +81,8 @@ _LANGUAGES = {
     "englisch": "en", "deutsch": "de", "französisch": "fr", "spanisch": "es", "chinesisch": "zh", "japanisch": "ja", "anglais": "en", "allemand": "de", "français": "fr", "espagnol": "es", "chinois": "zh", "japonais": "ja",
     "inglés": "en", "alemán": "de", "francés": "fr", "español": "es", "chino": "zh", "japonés": "ja", "英文": "en", "英语": "en", "德语": "de", "法语": "fr", "中文": "zh", "日语": "ja", "英語": "en", "ドイツ語": "de", "フランス語": "fr", "スペイン語": "es", "中国語": "zh", "日本語": "ja",
 }
+_LATIN_NAMES = frozenset(n for n in _LANGUAGES if n[0] < "\u0250")
+_OTHER_NAMES = tuple(n for n in _LANGUAGES if n[0] >= "\u0250")
 _NAMES = "|".join(sorted(map(re.escape, _LANGUAGES), key=len, reverse=True))
 _ASKS_LANGUAGE = re.compile(
     rf"\b(?:in|into|to|auf|ins|en|al?)\s+({_NAMES})\b|\b({_NAMES})\s+(?:answer|reply|response|please)|(?:用|成|为|に|で)({_NAMES})|({_NAMES})(?:回答|で答え|に翻訳|作答)", re.I
@@ -149,9 +151,11 @@ def is_copy(prompt: str, words: list[str], asked: list[str]) -> bool:
     return enough and (share >= COPIED or covered and share >= 0.5)
 
 
-def asked_language(prompt: str) -> str:
-    head = instruction(prompt)
-    m = _ASKS_LANGUAGE.search(head)
+def asked_language(prompt: str, asked: list[str]) -> str:
+    """The language a prompt asks for; ``asked``: its words.  Only prompts that name one are searched."""
+    if _LATIN_NAMES.isdisjoint(asked) and (prompt.isascii() or not any(n in prompt for n in _OTHER_NAMES)):
+        return ""
+    m = _ASKS_LANGUAGE.search(instruction(prompt))
     if m:
         return _LANGUAGES[next(g for g in m.groups() if g).lower()]
     return ""
@@ -166,7 +170,7 @@ def is_foreign(prompt: str, response: str, words: list[str], asked: list[str]) -
     got = language(text, None if fenced else Counter(words))
     if not got:
         return False
-    want = asked_language(prompt) or language(prompt, Counter(asked))
+    want = asked_language(prompt, asked) or language(prompt, Counter(asked))
     return bool(want) and got != want
 
 
