@@ -3,15 +3,15 @@
 Method: line-block distribution.  Markup is stripped, text lengths are summed over sliding windows of lines, and the
 main body lies between the points where the sums surge and dive.  What surges and dives is told by the page's own mean sum:
 the body begins and ends where sums around one of the mean fall under a share of it, and short lines that are no
-sentence, list item, subhead or table row don't begin or end it.  Lines that are furniture by themselves count as
-empty, wherever they stand, so notices inside an article don't end it and menus don't begin one:
+sentence, list item, subhead or table row don't begin or end it.  Lines that are furniture by themselves have no weight in
+the sums, wherever they stand, so notices inside an article don't end it and menus don't begin one.  No list of phrases is
+given; what furniture is comes from the pages:
 
-* furniture phrases of a fixed lexicon in several languages, alone or several in a line (menus, notices, footers);
-* phrases a large share of a language's pages holds (document frequency over all pages, domains and digits masked), or a
-  large share of the articles of the page's own site;
-* breadcrumbs, dates alone in a line, lines that are one link;
-* teasers: from the heading of a list of other articles on, until the page's own title, its excerpt or running text of
-  several sentences.
+* phrases (whole lines, parts of menus, several joined in one line) that surely a share of a language's articles hold, or a
+  share of the articles of the page's own site (domains and digits masked);
+* breadcrumbs of such phrases, dates alone in a line, copyright lines, lines that are one link;
+* lists of single lines, as teasers of other articles are, after a heading that is such a phrase, up to the page's own title,
+  its excerpt or running text of several sentences.
 
 The snippet is judged by the same phrases; what is left of it is its excerpt.
 
@@ -22,18 +22,17 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from collections.abc import Container, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.language import language
 from corpusloom.llm.sentences import units_of
+from corpusloom.session import Stages
 
 #: Lines in a window of the distribution; the body has windows of SURGE times the page's mean sum and goes on to DIVE times it.
 WINDOW = 5
@@ -41,46 +40,17 @@ SURGE = 1.0
 DIVE = 0.2
 #: Share of the length of the page's mean line, weighed by length, under which a line is light.
 LIGHT = 0.15
-#: Share of a language's pages from which a phrase is furniture; it takes as many pages as that share of LEAST_PAGES at least.
-COMMON = 0.06
-LEAST_PAGES = 200
+#: Share of a language's articles from which a phrase is furniture; the lower bound of its share at Z deviations must reach it.
+COMMON, Z = 0.03, 1.96
 #: Share of a site's articles from which a phrase is furniture there, and the least number of articles that hold it.
 SITE_COMMON = 0.2
 SITE_LEAST = 3
 
-#: Furniture phrases, lower case, digits masked by 0.
-PHRASES = frozenset(
-    x.strip()
-    for x in """
-home | about | about us | archive | archives | authors | contact | essays | events | help | log in | login | newsletters | podcast | rss | search | shop | sign up | topics | menu | sitemap | careers | press | advertise
-skip to main content | skip to content | back to top | privacy notice | privacy policy | terms of use | terms of service | imprint | accessibility | cookie settings | report a problem with this page | made with care in a small office.
-accept all | reject all | manage preferences | we use cookies to make this site work. | this site stores small files to measure its audience. | you can change your choice at any time in the privacy settings. | by continuing you agree to our use of cookies and similar tools. | some of our 0 partners may read data on your device.
-share | copy link | print this page | save for later | 0 comments | 0 min read | listen to this article (0 min) | subscribe for 0.0 a month and read without limits. | you have 0 free articles left. | get the best of our essays in your inbox every week. | enter your e-mail address | enjoying this piece? join 0,0 readers. | already a member? log in to continue. | version 0.0 | all rights reserved. | all rights reserved
-you are here: home | you are here
-startseite | archiv | suche | aufsätze | themen | über uns | hilfe | kontakt | anmelden | menü | impressum | datenschutz | barrierefreiheit | nach oben | teilen | drucken | link kopieren | merken | 0 kommentare | lesezeit: 0 minuten | noch 0 artikel frei. | lesen sie ohne grenzen für 0.0 im monat. | jetzt den wöchentlichen brief abonnieren. | alle akzeptieren | alle ablehnen | einstellungen verwalten | wir verwenden cookies, um diese seite zu betreiben. | mit dem weiterlesen stimmen sie der nutzung zu. | bis zu 0 partner erhalten daten. | alle rechte vorbehalten. | sie sind hier: startseite
-accueil | à propos | recherche | connexion | thèmes | essais | haut de page | mentions légales | confidentialité | partager | imprimer | copier le lien | 0 commentaires | lecture : 0 min | il vous reste 0 articles gratuits. | recevez notre lettre chaque semaine. | lisez sans limites pour 0,0 par mois. | tout accepter | tout refuser | gérer mes choix | nous utilisons des cookies pour faire fonctionner ce site. | nos 0 partenaires peuvent lire des données. | tous droits réservés. | vous êtes ici: accueil
-首页 | 归档 | 关于我们 | 登录 | 注册 | 专题 | 搜索 | 文章 | 联系 | 帮助 | 隐私政策 | 网站备案0 | 返回顶部 | 分享 | 打印 | 收藏 | 0条评论 | 阅读约0分钟 | 订阅每周精选。 | 您还可免费阅读0篇。 | 全部接受 | 全部拒绝 | 管理偏好 | 继续浏览即表示同意。 | 本站使用cookie以保证正常运行。 | 版权所有 | 当前位置: 首页
-inicio | acerca de | buscar | contacto | temas | archivo | iniciar sesión | aviso legal | privacidad | volver arriba | compartir | imprimir | aceptar todo | rechazar todo | todos los derechos reservados.
-""".replace("\n", "|").split("|")
-    if x.strip()
-)
-#: Headings of lists of other articles, lower case.
-TEASERS = frozenset(
-    x.strip()
-    for x in """
-related reading | related articles | most read | trending now | you may also like | more from this section | tags | read next | popular
-mehr zum thema | das könnte sie auch interessieren | meistgelesen | schlagwörter | auch interessant
-sur le même thème | à lire aussi | les plus lus | mots-clés
-相关阅读 | 猜你喜欢 | 热门文章 | 标签 | 推荐阅读
-artículos relacionados | lo más leído | etiquetas
-""".replace("\n", "|").split("|")
-    if x.strip()
-)
-_TAG = re.compile(r"<[^<>]{1,300}>")
+_TAG = re.compile(r"<[^<>]+>")
 _LINKED = re.compile(r"(?:<li>\s*)?<a\s[^<>]*>.*</a>(?:\s*</li>)?", re.I)
 _SEPARATOR = re.compile(r"\s*[·|›»>/]\s*|\s{2,}|\t")
+_PLACES = re.compile(r"\s*[›»>/]\s*")
 _BULLET = re.compile(r"^[•·]\s*")
-_MARKS = " ·|•/>»›-–—"
 _DIGITS = re.compile(r"\d+")
 _DATE = re.compile(r"\d{1,4}[./-]\d{1,2}[./-]\d{1,4}|\d{4}年\d{1,2}月\d{1,2}日|\d{1,2}\.? [^\W\d_]{3,9}\.? \d{4}|[^\W\d_]{3,9} \d{1,2}, \d{4}")
 _COPYRIGHT = re.compile(r"(?:©|\(c\)|copyright)\s*\d{4}", re.I)
@@ -106,16 +76,20 @@ def phrases(line: str, site: str) -> list[str]:
     return [m for m in masked if any(c.isalpha() for c in m)]
 
 
+OTHER, OWN, FURNITURE = 0, 1, 2
+#: Words of the longest phrase sought inside a line; whole lines and parts of menus are of any length.
+WORDS = 24
+_OUTER = " ·|•/>»›-–—*[]()"
+
+
 def _key(lang: str, phrase: str) -> int:
     """Of a language's phrase, or with '' of a site's."""
-    return xxhash.xxh3_64_intdigest(f"{lang}\x00{phrase}") - (1 << 63)
+    key = xxhash.xxh3_64_intdigest(phrase) - (1 << 63)
+    return _of_language(lang, key) if lang else key
 
 
-@lru_cache(maxsize=1)
-def _inside() -> re.Pattern:
-    """Any of the phrases of more than one word, or a notice, inside a line."""
-    some = sorted((p for p in PHRASES if len(p) > 3), key=len, reverse=True)
-    return re.compile("|".join(re.escape(p) for p in some))
+def _of_language(lang: str, key: int) -> int:
+    return key ^ (xxhash.xxh3_64_intdigest(lang) >> 1)
 
 
 class _Judge:
@@ -124,13 +98,13 @@ class _Judge:
     def __init__(self, site: str, title: str, lang: str, common: Container[int]):
         self.site, self.title, self.lang, self.common = site, title, lang, common
 
+    def known(self, masked: str) -> bool:
+        key = _key("", masked)
+        return key in self.common or _of_language(self.lang, key) in self.common
+
     def phrase(self, p: str) -> bool:
         m = _masked(p, self.site)
-        if not m or m in PHRASES:
-            return True
-        if _COPYRIGHT.match(p) or _DATE.fullmatch(p):
-            return True
-        return _key(self.lang, m) in self.common or _key("", m) in self.common
+        return not m or bool(_COPYRIGHT.match(p) or _DATE.fullmatch(p)) or self.known(m)
 
     def furniture(self, line: str) -> bool:
         if self.phrase(line):
@@ -141,21 +115,24 @@ class _Judge:
             if all(known):
                 return True
             # breadcrumb: known places, then the beginning of a title
-            if all(known[:-1]) and len(line) < 120 and (not self.title or self.title.startswith(parts[-1].rstrip(".… "))):
+            if all(known[:-1]) and (not self.title or self.title.startswith(parts[-1].rstrip(".… "))):
                 return True
-        m = _masked(line, self.site)
-        # a line of nothing but phrases begins with one
-        begins = m.lstrip(_MARKS)
-        rest = _inside().sub(" ", m) if begins.startswith("©") or _inside().match(begins) else m
-        if len(rest) < len(m):
-            rest = re.sub(r"©\s*0\s*~?\.?|\W", "", rest)
-            # several phrases in one line, the last perhaps cut
-            if not rest or len(rest) <= 2:
-                return True
-            tail = _inside().split(m)[-1].strip()
-            if tail and len(tail) >= 6 and m.endswith(tail) and any(p.startswith(tail) for p in PHRASES) and not re.sub(r"\W", "", _inside().sub(" ", m[: -len(tail)])):
-                return True
-        return False
+        return self.joined(line)
+
+    def joined(self, line: str) -> bool:
+        """Whether known phrases follow one another in the line; the last may be cut, if they cover most of it."""
+        words = _masked(line, self.site).split()
+        at, done = 0, 0
+        while at < len(words):
+            # the longest known phrase from here on
+            for end in range(min(len(words), at + WORDS), at, -1):
+                span = " ".join(words[at:end])
+                if self.known(span) or self.known(span.strip(_OUTER)):
+                    break
+            else:
+                break
+            at, done = end, done + 1
+        return at == len(words) or done > 1 and 2 * len(" ".join(words[:at])) > len(" ".join(words))
 
 
 def _several(line: str) -> bool:
@@ -163,41 +140,60 @@ def _several(line: str) -> bool:
     return len(line) >= 30 and len(_STOPS.findall(line)) >= 2 and len(units_of(line)) >= 2
 
 
-def _crumb(texts: list[str]) -> str:
+def _crumb(texts: list[str], judge: _Judge) -> str:
     """The last place of a page's breadcrumb, the beginning of its title; '' without one."""
     for t in texts:
-        parts = re.split(r"\s*[›»>/]\s*", t) if 0 < len(t) < 120 else []
-        if len(parts) > 1 and _masked(parts[-1], "") not in PHRASES and all(_masked(p, "") in PHRASES for p in parts[:-1]):
+        parts = _PLACES.split(t)
+        if len(parts) > 1 and not judge.phrase(parts[-1]) and all(judge.phrase(p) for p in parts[:-1]):
             return parts[-1].rstrip(".… ")
     return ""
 
 
+def _single(line: str) -> bool:
+    """Whether the line is at most one sentence, and no list item, subhead or table row."""
+    return not (_several(line) or _MARKED.match(line) or " | " in line)
+
+
+def _listed(texts: list[str], kinds: list[int], k: int) -> bool:
+    """Whether line k, after furniture, begins a list of teasers: single lines up to furniture, the page's end or its own lines, or two lines at least."""
+    run = 0
+    for j in range(k, len(texts)):
+        if not texts[j]:
+            continue
+        if kinds[j] != OTHER:
+            break
+        if not _single(texts[j]):
+            return run > 1
+        run += 1
+    return True
+
+
 def body_lines(lines: list[str], site: str, title: str, excerpt: str, common: Container[int], lang: str) -> set[int]:
     """The numbers of the non-blank lines that are main body."""
     judge = _Judge(site, title, lang, common)
     texts = [clean(x) for x in lines]
     length = np.zeros(len(lines), dtype=np.int64)
-    teaser = False
     # the body can't begin before the page's own title, where the page has it as a line
     first = next((k for k, t in enumerate(texts) if t and t.lstrip("# ").strip() == title), -1) if title else -1
-    if not title and (crumb := _crumb(texts)):
+    if not title and (crumb := _crumb(texts, judge)):
         # without a title the breadcrumb's last place tells how it begins
         first = next((k for k, t in enumerate(texts) if t.lstrip("# ").startswith(crumb)), -1)
+    kinds = [OTHER] * len(texts)
+    for k, t in enumerate(texts):
+        if k == first or excerpt and len(t) > 8 and (excerpt.startswith(t) or t.startswith(excerpt)):
+            kinds[k] = OWN
+        elif t and (_LINKED.fullmatch(lines[k].strip()) or judge.furniture(t)):
+            kinds[k] = FURNITURE
+    after = listed = False  # furniture: titles of other articles may follow
     for k, t in enumerate(texts):
         if not t or k < first:
             continue
-        own = k == first
-        if t.lower() in TEASERS:
-            teaser = True
+        if kinds[k] == FURNITURE:
+            after = not _closed(t) and len([p for p in _SEPARATOR.split(t) if p]) < 2  # a heading, no notice and no menu
             continue
-        if own or excerpt and len(t) > 8 and (excerpt.startswith(t) or t.startswith(excerpt)):
-            teaser = False
-        elif _LINKED.fullmatch(lines[k].strip()) or judge.furniture(t):
+        if after and kinds[k] == OTHER and _single(t) and (listed := listed or _listed(texts, kinds, k)):
             continue
-        elif teaser:
-            if not (_several(t) or _MARKED.match(t) or t.count(" | ") >= 1):
-                continue
-            teaser = False
+        after = listed = False
         length[k] = len(t)
     # the line-block distribution over non-blank lines: means of windows, surge and dive
     at = [k for k, t in enumerate(texts) if t]
@@ -240,7 +236,7 @@ def _excerpt(snippet: str, site: str, title: str, common: Container[int], lang:
     judge = _Judge(site, title, lang, common)
     for x in snippet.split("\n"):
         t = clean(x)
-        if t and t != title and t.lower() not in TEASERS and not judge.furniture(t):
+        if t and t != title and not judge.furniture(t):
             return t
     return ""
 
@@ -259,50 +255,52 @@ def furniture(item: int, site: str | None, title: str | None, snippet: str | Non
         judge = _Judge(site, title, lang, common)
         for k, x in enumerate(snippet.split("\n")):
             t = clean(x)
-            if x.strip() and (not t or t.lower() in TEASERS or judge.furniture(t)):
+            if x.strip() and (not t or judge.furniture(t)):
                 out.append((item, "snippet", k))
     return out
 
 
-def common_phrases(pages: DataFrame) -> frozenset:
-    """Keys of the phrases that at least COMMON of a language's pages hold.
+def held_phrases(pages: DataFrame) -> DataFrame:
+    """(lang, site, article, phrase), once each and written; phrase null tells of the article itself.
 
-    Document frequencies cover all pages; each batch adds up its own before the shuffle, and keys are 64-bit hashes.
-    At most (phrases of a page) / COMMON keys per language can pass, so the set that goes to the driver and to all
-    executors is bounded, whatever the number of pages.
+    Articles, not pages, hold phrases, since a page crawled twice repeats its article: pages of one title, or without one of
+    one dedupe_key where the table has it, are one.  Keys are 64-bit hashes, so length costs no memory.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: Counter = Counter()
-            pages_of: Counter = Counter()
-            for site, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not content:
-                    continue
-                lang, found = language(content), set()
-                pages_of[lang] += 1
+            rows = set()
+            for site, article, content in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                name, lang = site.strip(), language(content)
+                rows.add((lang, site, article, None))
                 for x in set(content.split("\n")):
-                    found.update(_key(lang, m) for m in phrases(clean(x), site or ""))
-                seen.update(found)
-                langs.update(dict.fromkeys(found, lang))
-            rows = [(lang, None, n) for lang, n in pages_of.items()] + [(langs[k], k, n) for k, n in seen.items()]
-            langs.clear()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["lang", "phrase", "n"]
-            )
+                    rows.update((lang, site, article, _key("", m)) for m in phrases(clean(x), name))
+            cols = list(zip(*rows)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["lang", "site", "article", "phrase"])
+
+    named = F.when(F.trim("title") != "", F.trim("title"))
+    other = [F.col(c).cast("string") for c in ("dedupe_key", "item_id") if c in pages.columns]
+    own = pages.filter("content != ''").select(F.coalesce("site", F.lit("")).alias("site"), F.xxhash64(F.coalesce(named, *other)).alias("article"), "content")
+    held = own.mapInArrow(count, "lang string, site string, article bigint, phrase bigint")
+    return Stages(pages.sparkSession, "phrases").cut(held.groupBy("lang", "site", "article", "phrase").agg(F.lit(1).alias("one")).drop("one"))
+
+
+def lower_bound(n: Column, of: Column) -> Column:
+    """Wilson's lower bound of a share n / of, so that a few pages prove little and no count need be asked for."""
+    p = n / of
+    return (p + Z * Z / (2 * of) - Z * F.sqrt(p * (1 - p) / of + Z * Z / (4 * of * of))) / (1 + Z * Z / of)
+
 
-    langs: dict[int, str] = {}
-    counts = pages.select("site", "content").mapInArrow(count, "lang string, phrase bigint, n bigint").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-    counts = counts.persist()
-    try:
-        total = {r.lang: r.n for r in counts.filter("phrase IS NULL").collect()}
-        keep = [F.lit(False)] + [(F.col("lang") == k) & (F.col("n") >= COMMON * max(n, LEAST_PAGES)) for k, n in total.items()]
-        passed = keep[0]
-        for c in keep[1:]:
-            passed = passed | c
-        return frozenset(r.phrase for r in counts.filter(F.col("phrase").isNotNull() & passed).select("phrase").collect())
-    finally:
-        counts.unpersist()
+def common_phrases(held: DataFrame) -> frozenset:
+    """Keys of the phrases of which surely COMMON of a language's articles hold, on more than one site or not.
+
+    At most (phrases of an article) / COMMON keys per language can pass, so the set that goes to the driver and to all
+    executors is bounded, whatever the number of pages.
+    """
+    n = held.groupBy("lang", "phrase").agg(F.count("*").alias("n"))
+    total = n.filter("phrase IS NULL").select("lang", F.col("n").alias("articles"))
+    some = n.filter("phrase IS NOT NULL AND n > 1").join(F.broadcast(total), "lang").filter(lower_bound(F.col("n"), F.col("articles")) >= COMMON)
+    return frozenset(_of_language(r.lang, r.phrase) for r in some.select("lang", "phrase").collect())
 
 
 class _Either:
@@ -315,38 +313,19 @@ class _Either:
         return key in self.one or key in self.other
 
 
-def site_phrases(pages: DataFrame) -> DataFrame:
-    """(site, keys): the phrases that at least SITE_COMMON of a site's articles hold, of the sites that have any.
-
-    Articles, not pages, count, since a page crawled twice repeats its article: pages of one title, or without one of one
-    dedupe_key where the table has it, are one.  A site has at most (phrases of an article) / SITE_COMMON keys.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = set()
-            for site, article, content in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                name = site.strip()
-                rows.add((site, None, article))
-                for x in set(content.split("\n")):
-                    rows.update((site, _key("", m), article) for m in phrases(clean(x), name))
-            cols = list(zip(*rows)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["site", "phrase", "article"])
-
-    named = F.when(F.trim("title") != "", F.trim("title"))
-    other = [F.col(c).cast("string") for c in ("dedupe_key", "item_id") if c in pages.columns]
-    own = pages.filter("trim(site) != '' AND content != ''").select("site", F.xxhash64(F.coalesce(named, *other)).alias("article"), "content")
-    held = own.mapInArrow(count, "site string, phrase bigint, article bigint").groupBy("site", "phrase", "article").agg(F.lit(1).alias("one"))
-    n = held.groupBy("site", "phrase").agg(F.count("*").alias("n")).filter((F.col("n") >= SITE_LEAST) | F.col("phrase").isNull())
-    per = n.groupBy("site").agg(F.max(F.when(F.col("phrase").isNull(), F.col("n"))).alias("articles"))
+def site_phrases(held: DataFrame) -> DataFrame:
+    """(site, keys): the phrases that at least SITE_COMMON of a site's articles hold, of the sites that have any.  A site has at
+    most (phrases of an article) / SITE_COMMON keys."""
+    n = held.filter("trim(site) != ''").groupBy("site", "phrase").agg(F.count_distinct("article").alias("n")).filter((F.col("n") >= SITE_LEAST) | F.col("phrase").isNull())
+    per = n.filter("phrase IS NULL").select("site", F.col("n").alias("articles"))
     some = n.filter("phrase IS NOT NULL").join(per.filter(F.col("articles") >= SITE_LEAST), "site").filter(F.col("n") >= SITE_COMMON * F.col("articles"))
     return some.groupBy("site").agg(F.collect_list("phrase").alias("keys"))
 
 
-def _with_phrases(pages: DataFrame) -> DataFrame:
+def _with_phrases(pages: DataFrame, held: DataFrame) -> DataFrame:
     """(item_id, site, title, snippet, content, keys) of the pages, with the phrases of their sites."""
     cols = pages.select(F.col("item_id").cast("bigint"), "site", "title", "snippet", "content")
-    return cols.join(site_phrases(pages), "site", "left").select("item_id", "site", "title", "snippet", "content", "keys")
+    return cols.join(site_phrases(held), "site", "left").select("item_id", "site", "title", "snippet", "content", "keys")
 
 
 def _judged(batch: pa.RecordBatch, common: frozenset) -> Iterator[tuple[tuple, list[tuple[int, str, int]]]]:
@@ -361,7 +340,8 @@ def _judged(batch: pa.RecordBatch, common: frozenset) -> Iterator[tuple[tuple, l
 
 def furniture_lines(pages: DataFrame) -> DataFrame:
     """(item_id, field, line_no) of every non-blank line that isn't main body."""
-    shared = pages.sparkSession.sparkContext.broadcast(common_phrases(pages))
+    held = held_phrases(pages)
+    shared = pages.sparkSession.sparkContext.broadcast(common_phrases(held))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -372,12 +352,13 @@ def furniture_lines(pages: DataFrame) -> DataFrame:
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32())], names=["item_id", "field", "line_no"]
             )
 
-    return _with_phrases(pages).mapInArrow(run, "item_id bigint, field string, line_no int").distinct()
+    return _with_phrases(pages, held).mapInArrow(run, "item_id bigint, field string, line_no int").distinct()
 
 
 def main_bodies(pages: DataFrame) -> DataFrame:
     """(item_id, content, snippet) with only the main body's lines, markup stripped; null stays null."""
-    shared = pages.sparkSession.sparkContext.broadcast(common_phrases(pages))
+    held = held_phrases(pages)
+    shared = pages.sparkSession.sparkContext.broadcast(common_phrases(held))
 
     def keep(text: str | None, gone: set[int]) -> str | None:
         return None if text is None else "\n".join(clean(x) for k, x in enumerate(text.split("\n")) if k not in gone)
@@ -391,4 +372,4 @@ def main_bodies(pages: DataFrame) -> DataFrame:
                 out[2].append(keep(snippet, {k for _, f, k in rows if f == "snippet"}))
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], names=["item_id", "content", "snippet"])
 
-    return _with_phrases(pages).mapInArrow(run, "item_id bigint, content string, snippet string")
+    return _with_phrases(pages, held).mapInArrow(run, "item_id bigint, content string, snippet string")

@@ -23,7 +23,14 @@ More titles to read
 BODY = {7, 8, 10, 11, 12, 13, 14}
 
 
-def found(content, snippet=None, title="The reading list", common=frozenset()):
+#: What the pages of a corpus would tell: nothing of this is fixed in the library.
+KNOWN = frozenset(
+    B._key("en", B._masked(x, SITE))
+    for x in "home|about|log in|you are here: home|essays|we use cookies to make this site work.|accept all|manage preferences|related reading|subscribe for 3.50 a month and read without limits.|12 comments|tags|all rights reserved.|share".split("|")
+)
+
+
+def found(content, snippet=None, title="The reading list", common=KNOWN):
     rows = B.furniture(1, SITE, title, snippet, content, common)
     return {k for _, f, k in rows if f == "content"}, {k for _, f, k in rows if f == "snippet"}
 
@@ -48,7 +55,7 @@ def test_without_title_line_and_title():
 def test_common_phrases_count_as_furniture():
     page = "Unheard of notice here\n" + PAGE
     key = B._key("en", "unheard of notice here")
-    assert 0 in found(page, common=frozenset([key]))[0]
+    assert 0 in found(page, common=KNOWN | {key})[0]
 
 
 def test_odd_fields():
@@ -59,25 +66,26 @@ def test_odd_fields():
 
 def test_dataframe(spark):
     schema = "item_id bigint, site string, title string, snippet string, content string, field string"
-    rows = [(1, SITE, "The reading list", "Log in\nText.", PAGE, "x")] * 2 + [(2, None, None, None, None, "x"), (3, SITE, None, "Share", "", None)]
+    rows = [(1, SITE, "The reading list", "About\nText.", PAGE, "x")] * 2 + [(2, None, None, None, None, "x"), (3, SITE, None, "Home", "", None)]
+    # other pages of the site, from which its furniture is learnt
+    other = lambda i: "\n".join(f"{x} {'ab'[i % 2] * (i + 3)}" if k in BODY else f"Title {i * k} {'cd'[i % 2] * i}" if k in (4, 5, 17) else x for k, x in enumerate(PAGE.split("\n")))
+    rows += [(10 + i, SITE, f"The reading list {'ab'[i % 2] * (i + 3)}", "Share\nText.", other(i), "x") for i in range(30)]
     df = spark.createDataFrame(rows, schema)
     got = [tuple(r) for r in B.furniture_lines(df).collect()]
     assert len(got) == len(set(got)) and {k for i, f, k in got if (i, f) == (1, "content")} == set(range(19)) - BODY
-    assert {(i, k) for i, f, k in got if f == "snippet"} == {(1, 0), (3, 0)}
+    assert {(i, k) for i, f, k in got if f == "snippet" and i < 10} == {(1, 0), (3, 0)}
     bodies = {r.item_id: (r.content, r.snippet) for r in B.main_bodies(df).collect()}
     assert bodies[1][0].split("\n")[0] == "The reading list" and bodies[1][1] == "Text." and bodies[2] == (None, None)
     assert B.furniture_lines(df.limit(0)).count() == 0
 
 
-def test_document_frequencies_over_all_pages(spark, monkeypatch):
-    monkeypatch.setattr(B, "LEAST_PAGES", 20)
+def test_document_frequencies_over_all_pages(spark):
     pages = [(i, f"Strange notice of the house\nThe story of {'ab'[i % 2] * (i + 3)} is told in this line. It has two sentences, as the others.") for i in range(40)]
     df = spark.createDataFrame([(i, SITE, None, None, c) for i, c in pages], "item_id bigint, site string, title string, snippet string, content string").repartition(5)
     assert {(r.item_id, r.line_no) for r in B.furniture_lines(df).collect()} == {(i, 0) for i in range(40)}
 
 
-def test_long_notices_are_learnt(spark, monkeypatch):
-    monkeypatch.setattr(B, "LEAST_PAGES", 20)
+def test_long_notices_are_learnt(spark):
     notice = "Our house keeps a small jar of crumbs on your machine so that the pages remember which of the many doors you came in by last time."
     menu = " | ".join([notice, "Strange door", "Odd window of the old house by the river and the sea"])
     pages = [(i, f"{notice}\n{menu}\nThe story of {'ab'[i % 2] * (i + 3)} is told in this line. It has two sentences, as the others.") for i in range(40)]
@@ -92,19 +100,30 @@ def test_furniture_of_a_small_site(spark):
     page = lambda i: f"Strange door of our house\n{story(i)}\n{story(i + 50)}"
     rows = [(i, "small.example", f"Title {i}", "Strange door of our house\n" + story(i), page(i)) for i in range(5)]
     rows += [(10 + i, "twice.example", "One title", None, page(7)) for i in range(3)] + [(20, "other.example", "Another title", None, page(9))]
+    rows += [(100 + i, f"s{i}.example", f"Other {i}", None, story(i)) for i in range(400)]
     schema = "item_id bigint, site string, title string, snippet string, content string"
     got = {tuple(r) for r in B.furniture_lines(spark.createDataFrame(rows, schema).repartition(4)).collect()}
     assert got == {(i, f, 0) for i in range(5) for f in ("content", "snippet")}
-    assert {r.site: len(r["keys"]) for r in B.site_phrases(spark.createDataFrame(rows, schema)).collect()} == {"small.example": 1}
+    assert {r.site: len(r["keys"]) for r in B.site_phrases(B.held_phrases(spark.createDataFrame(rows, schema))).collect()} == {"small.example": 1}
 
 
-def test_short_line_blocks_go_without_a_lexicon(monkeypatch):
+def test_short_line_blocks_go_without_a_lexicon():
     """Menus before and after an article in unheard-of words are told by the page's own distribution."""
-    monkeypatch.setattr(B, "PHRASES", frozenset())
-    monkeypatch.setattr(B, "TEASERS", frozenset())
-    monkeypatch.setattr(B, "_inside", lambda: B.re.compile("(?!)"))
     menu = ["Odd door", "Wide window", "Terms of use", "Privacy notice", "Low cellar", "Red attic"]
     story = [f"The story number {i} runs on through many a long line, and nobody minds. It has three sentences, as the others have. They are of the usual length of a paragraph in prose." for i in range(6)]
     page = menu + story[:3] + ["## A subhead", "- one item", "- another item"] + story[3:] + ["So it ends."] + menu
-    assert found("\n".join(page), None, None)[0] == {*range(5), *range(16, 22)}
-    assert found("\n".join(page), None, "Unseen title")[0] == {*range(6), *range(16, 22)}
+    assert found("\n".join(page), None, None, frozenset())[0] == {*range(5), *range(16, 22)}
+    assert found("\n".join(page), None, "Unseen title", frozenset())[0] == {*range(6), *range(16, 22)}
+
+
+def test_joined_phrases():
+    judge = B._Judge(SITE, "", "en", KNOWN)
+    assert judge.joined("Accept all We use cookies to make this site work. Manage preferences") and judge.joined("Log in Home Acc")
+    assert not judge.joined("Home was a word that nobody used.") and not judge.joined("Nothing is known of this line")
+
+
+def test_wilson_bound(spark):
+    from pyspark.sql import functions as F
+
+    got = spark.range(1).select(B.lower_bound(F.lit(3.0), F.lit(15.0)), B.lower_bound(F.lit(60.0), F.lit(1000.0))).first()
+    assert abs(got[0] - 0.0705) < 1e-3 and abs(got[1] - 0.0469) < 1e-3
