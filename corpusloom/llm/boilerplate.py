@@ -45,6 +45,8 @@ COMMON, Z = 0.03, 1.96
 #: Share of a site's articles from which a phrase is furniture there, and the least number of articles that hold it.
 SITE_COMMON = 0.2
 SITE_LEAST = 3
+#: Keys of all sites up to which they are sent to every task (8 bytes each).
+BROADCAST_KEYS = 2_000_000
 
 _TAG = re.compile(r"<[^<>]+>")
 _LINKED = re.compile(r"(?:<li>\s*)?<a\s[^<>]*>.*</a>(?:\s*</li>)?", re.I)
@@ -96,11 +98,13 @@ class _Judge:
     """Tells furniture lines of one page; ``common``: keys of a language's phrases, and of a site's (see ``_key``)."""
 
     def __init__(self, site: str, title: str, lang: str, common: Container[int]):
-        self.site, self.title, self.lang, self.common = site, title, lang, common
+        self.site, self.title = site, title
+        self.of_language, self.of_site = (common.one, common.other) if isinstance(common, _Either) else (common, common)
+        self.mark = _of_language(lang, 0)
 
     def known(self, masked: str) -> bool:
         key = _key("", masked)
-        return key in self.common or _of_language(self.lang, key) in self.common
+        return key in self.of_site or key ^ self.mark in self.of_language
 
     def phrase(self, p: str) -> bool:
         m = _masked(p, self.site)
@@ -123,15 +127,25 @@ class _Judge:
         """Whether known phrases follow one another in the line; the last may be cut, if they cover most of it."""
         words = _masked(line, self.site).split()
         at, done = 0, 0
+        of_site, of_language, mark = self.of_site, self.of_language, self.mark
         while at < len(words):
-            # the longest known phrase from here on
-            for end in range(min(len(words), at + WORDS), at, -1):
-                span = " ".join(words[at:end])
-                if self.known(span) or self.known(span.strip(_OUTER)):
-                    break
-            else:
+            # the longest known phrase from here on, by a running hash
+            hashed, best, first = xxhash.xxh3_64(words[at]), 0, words[at].lstrip(_OUTER)
+            bare = xxhash.xxh3_64(first) if first != words[at] else None
+            for end in range(at + 1, min(len(words), at + WORDS) + 1):
+                if end > at + 1:
+                    hashed.update(" " + words[end - 1])
+                    if bare:
+                        bare.update(" " + words[end - 1])
+                key = hashed.intdigest() - (1 << 63)
+                if key in of_site or key ^ mark in of_language:
+                    best = end
+                elif bare or words[end - 1][-1] in _OUTER:
+                    if self.known(" ".join(words[at:end]).strip(_OUTER)):
+                        best = end
+            if not best:
                 break
-            at, done = end, done + 1
+            at, done = best, done + 1
         return at == len(words) or done > 1 and 2 * len(" ".join(words[:at])) > len(" ".join(words))
 
 
@@ -325,7 +339,10 @@ def site_phrases(held: DataFrame) -> DataFrame:
 def _with_phrases(pages: DataFrame, held: DataFrame) -> DataFrame:
     """(item_id, site, title, snippet, content, keys) of the pages, with the phrases of their sites."""
     cols = pages.select(F.col("item_id").cast("bigint"), "site", "title", "snippet", "content")
-    return cols.join(site_phrases(held), "site", "left").select("item_id", "site", "title", "snippet", "content", "keys")
+    sites = Stages(pages.sparkSession, "sites").cut(site_phrases(held))
+    # the pages stay where they lie if the keys of all sites are few; else both sides meet by site
+    keys = sites.agg(F.sum(F.size("keys"))).first()[0] or 0
+    return cols.join(F.broadcast(sites) if keys <= BROADCAST_KEYS else sites, "site", "left").select("item_id", "site", "title", "snippet", "content", "keys")
 
 
 def _judged(batch: pa.RecordBatch, common: frozenset) -> Iterator[tuple[tuple, list[tuple[int, str, int]]]]:

@@ -27,6 +27,7 @@ _SCRIPTS = (
     ("th", re.compile(r"[฀-๿]")),
     ("ko", re.compile(r"[가-힯]")),
 )
+_OTHER = re.compile(r"[Ѐ-퟿]")
 _MARKS = (("de", re.compile("[äöüßÄÖÜ]")), ("es", re.compile("[ñ¿¡áíóú]")), ("fr", re.compile("[èêëçœàâîïûù«»]")))
 
 
@@ -38,7 +39,10 @@ def language(text: str, count: Counter | None = None) -> str:
     if not text:
         return ""
     if not text.isascii():
-        counts = {k: len(p.findall(text)) for k, p in _SCRIPTS}
+        counts = dict.fromkeys((k for k, _ in _SCRIPTS), 0)
+        if _OTHER.search(text):
+            counts = {k: len(p.findall(text)) for k, p in _SCRIPTS}
+    if not text.isascii() and any(counts.values()):
         latin = sum(map(len, re.findall(r"[A-Za-zÀ-ÿ]+", text))) / 3
         if counts["ja"] and counts["ja"] * 8 > counts["zh"]:
             counts["ja"] += counts["zh"]
