@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 from xml.etree import ElementTree
 
+#: Parts of a page that are dropped.
 _DROP = {"script", "style", "noscript", "svg", "nav", "header", "footer", "form"}
 _BREAK = {"p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article"}
 
@@ -94,30 +95,75 @@ def feed_items(xml: str) -> list[dict]:
 _FENCED = re.compile(r"```(?:json)?\s*(.*?)```", re.S | re.I)
 
 
-def lenient_json(text: str) -> object | None:
-    """The JSON of a model's answer: the fenced part first, then from the first bracket; stray backslashes are doubled, a cut array keeps its whole elements."""
-    for part in [*_FENCED.findall(text), text]:
-        m = re.search(r"[\[{]", part)
-        if not m:
-            continue
-        body = part[m.start() :]
-        for form in (body, re.sub(r'\\(?!["\\/bfnrtu])', r"\\\\", body)):
+def repaired_escapes(text: str) -> str:
+    """JSON text in which a backslash that begins no escape is doubled, in one pass over its escapes.
+
+    A control escape before a small letter is taken for a command of formulas (``\\frac``, ``\\tan``), not for a control character.
+    """
+    out, at = [], 0
+    while (k := text.find("\\", at)) >= 0:
+        out.append(text[at:k])
+        follows = text[k + 1 : k + 2]
+        if follows == "u" and len(text) >= k + 6 and all(c in "0123456789abcdefABCDEF" for c in text[k + 2 : k + 6]):
+            width, kept = 6, True
+        elif follows in ("\\", '"', "/") and follows:
+            width, kept = 2, True
+        else:
+            control = follows != "" and follows in "bfnrt"
+            kept = control and not ("a" <= text[k + 2 : k + 3] <= "z")
+            width = 2 if control else 1
+        out.append(text[k : k + width] if kept else "\\" + text[k : k + width])
+        at = k + width
+    return "".join(out) + text[at:]
+
+
+def _first_value(body: str) -> tuple[bool, object]:
+    """The first object or array that a bracket of the text begins; strictly, then with its escapes repaired."""
+    decoder = json.JSONDecoder()
+    for form in (body, repaired_escapes(body)):
+        for m in re.finditer(r"[\[{]", form):
             try:
-                return json.JSONDecoder().raw_decode(form)[0]
+                return True, decoder.raw_decode(form, m.start())[0]
             except ValueError:
                 continue
-        if body.startswith("["):
-            kept, at, decoder = [], 1, json.JSONDecoder()
-            while at < len(body):
-                while at < len(body) and body[at] in " \t\r\n,":
-                    at += 1
+    return False, None
+
+
+def _whole_elements(body: str) -> list:
+    """The elements of an array that was cut, up to the cut."""
+    kept, at, decoder = [], body.find("[") + 1, json.JSONDecoder()
+    while 0 < at < len(body):
+        while at < len(body) and body[at] in " \t\r\n,":
+            at += 1
+        try:
+            value, at = decoder.raw_decode(body, at)
+        except ValueError:
+            break
+        kept.append(value)
+    return kept
+
+
+def lenient_json(text: str) -> object | None:
+    """The JSON of a model's answer: of the fenced part first, then of the whole text.
+
+    Brackets are tried one after the other, so prose in brackets before the answer does no harm; stray backslashes are
+    doubled; an array that was cut keeps its whole elements.
+    """
+    parts = [*_FENCED.findall(text), text]
+    for part in parts:
+        first = re.search(r"[\[{]", part)
+        # a cut array: its elements, rather than the first object in it
+        if first and part[first.start()] == "[":
+            body = part[first.start() :]
+            for form in (body, repaired_escapes(body)):
                 try:
-                    value, at = decoder.raw_decode(body, at)
+                    return json.JSONDecoder().raw_decode(form)[0]
                 except ValueError:
-                    break
-                kept.append(value)
-            if kept:
-                return kept
+                    if kept := _whole_elements(form):
+                        return kept
+        found, value = _first_value(part)
+        if found:
+            return value
     return None
 
 

@@ -6,9 +6,12 @@ import re
 
 from corpusloom.functions.markdown import blocks, split_row
 
-#: Fixed patterns: lines that begin a chapter of a plain text.
-CHAPTER = re.compile(r"(?:CHAPTER|PART|SECTION|BOOK)\s+(?:[IVXLCDM]+|\d+)\b|第[一二三四五六七八九十百千零〇\d]+[章回品節篇卷]")
-CAPITALS = re.compile(r"[A-Z][A-Z &'-]{3,59}")
+#: What divisions of a book are called, and the signs of numbers in their headings.
+DIVISIONS = ("CHAPTER", "PART", "SECTION", "BOOK")
+DIVISION_SIGNS = "章回品節篇卷"
+NUMERAL_SIGNS = "一二三四五六七八九十百千零〇0123456789"
+ROMAN_SIGNS = "IVXLCDM"
+#: Lines that name a table of contents.
 CONTENTS = ("table of contents", "contents", "目錄", "目次")
 GLOSSARY = re.compile(r"詞彙|術語|glossary|key terms", re.I)
 
@@ -26,20 +29,47 @@ def heading_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out)
 
 
+def names_division(line: str) -> bool:
+    """Whether a line begins with a division's name and number, in English capitals or in Chinese."""
+    head, _, rest = line.partition(" ")
+    if head in DIVISIONS:
+        number = rest.split(" ")[0].rstrip(".:,-–—") if rest else ""
+        return number.isdecimal() or bool(number) and not number.strip(ROMAN_SIGNS)
+    if line[:1] != "第":
+        return False
+    sign = line[1:].lstrip(NUMERAL_SIGNS)
+    return len(sign) < len(line) - 1 and sign[:1] != "" and sign[0] in DIVISION_SIGNS
+
+
+def all_capitals(line: str) -> bool:
+    """Whether a line of 4 to 60 characters is a heading in capitals: ASCII letters, blanks and joining marks."""
+    return 4 <= len(line) <= 60 and line[0].isupper() and all(c.isascii() and (c.isupper() or c in " &'-") for c in line)
+
+
 def promote_headings(text: str) -> tuple[str, int]:
-    """Chapter lines and isolated lines of capitals as headings of level 2, in texts with fewer than three headings."""
+    """The text with division lines, and lines of capitals with a blank line beside them, as headings of level 2; texts with
+    three headings or more stay as they are.  Also how many were promoted."""
     parts = blocks(text)
-    if sum(b.kind == "heading" for b in parts) >= 3:
+    if len([b for b in parts if b.kind == "heading"]) > 2:
         return text, 0
-    skip = {i for b in parts if b.atomic for i in range(text.count("\n", 0, b.start), text.count("\n", 0, b.end))}
-    lines, n = text.split("\n"), 0
-    for i, line in enumerate(lines):
-        if i in skip or not line or line != line.strip() or line.startswith("#") or line.lower() in CONTENTS:
+    out: list[str] = []
+    promoted = at = 0
+    for block in parts:
+        out.append(text[at : block.start])
+        at = block.end
+        if block.atomic or block.kind == "heading":
+            out.append(text[block.start : block.end])
             continue
-        alone = i == 0 or not lines[i - 1].strip() or i + 1 == len(lines) or not lines[i + 1].strip()
-        if CHAPTER.match(line) or alone and CAPITALS.fullmatch(line):
-            lines[i], n = "## " + line, n + 1
-    return "\n".join(lines), n
+        lines = text[block.start : block.end].splitlines(keepends=True)
+        for n, raw in enumerate(lines):
+            line = raw.rstrip("\r\n")
+            edge = n == 0 or n == len(lines) - 1 or not lines[n - 1].strip() or not lines[n + 1].strip()
+            title = line and line[0] != " " and line[-1] != " " and line.lower() not in CONTENTS
+            if title and (names_division(line) or edge and all_capitals(line)):
+                out.append("## ")
+                promoted += 1
+            out.append(raw)
+    return "".join(out) + text[at:], promoted
 
 
 def flatten_numbered_tables(text: str) -> tuple[str, int]:

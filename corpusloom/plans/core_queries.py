@@ -25,13 +25,19 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_hierarchy(spark: SparkSession, d: str) -> DataFrame:
-    """Path, depth, root and the interval of descendants of every node under a root."""
+    """Path, depth, root and the number of descendants of every node under a root."""
     h = hierarchy.kind_and_id(_hierarchy(spark, d).labelled())
     return h.select(
-        "node_kind", "node_id", F.expr("substring(root, 3)").alias("root_id"), "depth", F.array_join(F.transform("path", lambda x: F.substring(x, 3, 1 << 30)), "/").alias("path"), (F.col("size") - 1).alias("descendants"), "first", "last"
+        "node_kind", "node_id", F.expr("substring(root, 3)").alias("root_id"), "depth", F.array_join(F.transform("path", lambda x: F.substring(x, 3, 1 << 30)), "/").alias("path"), (F.col("size") - 1).alias("descendants")
     )
 
 
+def p3_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """The preorder interval of every node under a root: its descendants are the nodes of its root numbered in (first, last]."""
+    h = hierarchy.kind_and_id(_hierarchy(spark, d).labelled())
+    return h.select("node_kind", "node_id", F.expr("substring(root, 3)").alias("root_id"), "first", "last")
+
+
 def p3_cycles(spark: SparkSession, d: str) -> DataFrame:
     """The nodes on cycles."""
     return hierarchy.kind_and_id(_hierarchy(spark, d).cycles()).select("node_kind", "node_id", F.expr("substring(cycle_id, 3)").alias("cycle_id"), "length")
@@ -60,6 +66,7 @@ def p4_snapshot(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_hierarchy": p3_hierarchy,
+    "p3_intervals": p3_intervals,
     "p3_cycles": p3_cycles,
     "p4_found": p4_found,
     "p4_snapshot": p4_snapshot,

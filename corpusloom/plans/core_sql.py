@@ -44,6 +44,18 @@ SQL: dict[str, str] = {
 WITH RECURSIVE {_LINKS}
 SELECT l.node_kind, l.id AS node_id, coalesce(t.root_id, '') AS root_id, coalesce(t.depth, -1)::INTEGER AS depth
 FROM links l LEFT JOIN tree t ON t.node_kind = l.node_kind AND t.id = l.id WHERE l.parent IS NOT NULL""",
+    "p3_hierarchy": f"""
+WITH RECURSIVE {_LINKS},
+sizes AS (SELECT node_kind, id, count(*) - 1 AS descendants FROM (SELECT node_kind, unnest(list_transform(range(1, len(ids) + 1), lambda i: array_to_string(ids[1:i], '/'))) AS spot, ids[-1] AS leaf FROM (SELECT node_kind, string_split(path, '/') AS ids FROM tree)) JOIN (SELECT node_kind AS k, id, path FROM tree) ON k = node_kind AND path = spot GROUP BY 1, 2)
+SELECT t.node_kind, t.id AS node_id, t.root_id, t.depth::INTEGER AS depth, t.path, descendants FROM tree t JOIN sizes s ON s.node_kind = t.node_kind AND s.id = t.id""",
+    "p3_cycles": f"""
+WITH RECURSIVE {_LINKS},
+walk AS (
+  SELECT node_kind, id AS start, parent AS spot, 1 AS steps, least(id, parent) AS low FROM links l WHERE parent IS NOT NULL AND NOT EXISTS (SELECT 1 FROM tree t WHERE t.node_kind = l.node_kind AND t.id = l.id)
+  UNION ALL
+  SELECT w.node_kind, w.start, l.parent, w.steps + 1, least(w.low, l.parent) FROM walk w JOIN links l ON l.node_kind = w.node_kind AND l.id = w.spot WHERE w.spot <> w.start AND w.steps < 1000
+)
+SELECT node_kind, start AS node_id, low AS cycle_id, steps AS length FROM walk WHERE spot = start""",
     "p4_found": f"WITH {_ORPHANS} SELECT table_name, record_id, field, reason, period FROM orphans WHERE reason IS NOT NULL",
     "p4_snapshot": f"WITH {_ORPHANS} SELECT table_name, field, reason, period, count(*) AS orphans FROM orphans WHERE reason IS NOT NULL GROUP BY ALL",
 }

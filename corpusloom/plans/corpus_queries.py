@@ -66,9 +66,9 @@ def q_falsification(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_quarantine(spark: SparkSession, d: str) -> DataFrame:
-    """Runs with three failed calls since their last good one, still within seven days of the last failure."""
-    c = table(spark, d, "llm_calls").select(clean_id("run_id").alias("run_id"), "ts", (F.col("status") == "failed").alias("failed")).filter("run_id IS NOT NULL AND ts IS NOT NULL")
-    return W.strikes(c.withColumn("failed", F.coalesce("failed", F.lit(False))), "run_id", "ts", "failed").filter("fails >= 3").select("run_id", "fails", "blocked")
+    """Users with three errors since their last purchase, and whether the last error still blocks them (seven days)."""
+    e = table(spark, d, "events").filter("event_type IN ('error', 'purchase') AND user_id IS NOT NULL")
+    return W.strikes(e.withColumn("failed", F.col("event_type") == "error"), "user_id", "ts", "failed").filter("fails >= 3").select("user_id", "fails", "blocked")
 
 
 def q_thin_rotation(spark: SparkSession, d: str) -> DataFrame:
@@ -243,7 +243,7 @@ SQL = {
     "q_active_evidence": f"WITH {_A} SELECT run_id, count(*)::INTEGER AS evidence, sum((coalesce(quality_verdict, '') <> 'reject')::INT)::INTEGER AS active FROM a WHERE run_id IS NOT NULL GROUP BY 1",
     "q_tensions": f"WITH {_A}, g AS (SELECT run_id, sum(coalesce(quality_verdict = 'reject', false)::INT) AS against, count(*) AS n, round(avg(quality_score), 9) AS score FROM a WHERE run_id IS NOT NULL GROUP BY 1) SELECT CASE WHEN against > 0 THEN 'contradicted' WHEN n <= 1 THEN 'thin' WHEN score >= 8 THEN 'dogmatic' ELSE 'calm' END AS tension, count(*) AS runs, sum(n)::BIGINT AS evidence FROM g GROUP BY 1",
     "q_falsification": f"WITH {_A} SELECT run_id, count(*) AS n FROM a WHERE quality_verdict = 'reject' AND run_id IS NOT NULL GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT artifact_type) >= 2 AND max(ts) <= (SELECT max(ts) FROM a) - INTERVAL 14 DAY",
-    "q_quarantine": "WITH c AS (SELECT nullif(lower(trim(run_id)), '') AS run_id, ts, coalesce(status = 'failed', false) AS failed FROM llm_calls WHERE ts IS NOT NULL), d AS (SELECT * FROM c WHERE run_id IS NOT NULL), o AS (SELECT run_id, max(ts) AS ok FROM d WHERE NOT failed GROUP BY 1) SELECT run_id, count(*) AS fails, (SELECT max(ts) FROM d) - max(ts) < INTERVAL 7 DAY AS blocked FROM d LEFT JOIN o USING (run_id) WHERE failed AND (ok IS NULL OR ts > ok) GROUP BY 1 HAVING count(*) >= 3",
+    "q_quarantine": "WITH d AS (SELECT user_id, ts, event_type = 'error' AS failed FROM events WHERE event_type IN ('error', 'purchase')), o AS (SELECT user_id, max(ts) AS ok FROM d WHERE NOT failed GROUP BY 1) SELECT user_id, count(*) AS fails, (SELECT max(ts) FROM d) - max(ts) < INTERVAL 7 DAY AS blocked FROM d LEFT JOIN o USING (user_id) WHERE failed AND (ok IS NULL OR ts > ok) GROUP BY 1 HAVING count(*) >= 3",
     "q_thin_rotation": f"WITH {_A} SELECT run_id FROM a WHERE run_id IS NOT NULL GROUP BY 1 HAVING count(*) = 1 ORDER BY max(ts) NULLS FIRST, run_id LIMIT 25",
     "q_readiness": f"WITH {_A}, r AS (SELECT nullif(lower(trim(run_id)), '') AS run_id, max(CASE WHEN error IS NOT NULL THEN 25 ELSE 0 END) AS p FROM runs GROUP BY 1), m AS (SELECT run_id, sum(p) AS more FROM (SELECT nullif(lower(trim(run_id)), '') AS run_id, 10 AS p FROM llm_calls WHERE status = 'failed' UNION ALL SELECT run_id, 15 FROM a WHERE quality_verdict = 'unparseable') GROUP BY 1), s AS (SELECT run_id, greatest(0, 100 - p - coalesce(more, 0))::BIGINT AS score FROM r LEFT JOIN m USING (run_id)) SELECT run_id, score, CASE WHEN score >= 80 THEN 'ready' WHEN score >= 50 THEN 'caution' ELSE 'blocked' END AS verdict FROM s",
     "q_median_scores": f"WITH {_A} SELECT artifact_type, round(median(coalesce(quality_score, 0.0::DOUBLE)), 6) AS median, count(*) AS n FROM a GROUP BY 1",

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import decay as D
+from corpusloom.functions.ids import clean_id
 from corpusloom.operators import windows as W
 from corpusloom.sources.tables import table
 
@@ -302,10 +303,9 @@ def q_version_drift(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_unused(spark: SparkSession, d: str) -> DataFrame:
-    """Intents that no artifact's run has."""
-    used = artifacts(spark, d).select(F.lower(F.trim("run_id")).alias("id")).distinct()
-    r = runs(spark, d).filter("intent IS NOT NULL").select("intent", F.lower(F.trim("run_id")).alias("id"))
-    return r.select("intent").distinct().join(r.join(used, "id", "left_semi").select("intent").distinct(), "intent", "left_anti")
+    """Runs that no artifact and no retrieval names: known ids less used ones."""
+    ids = lambda t: t.select(clean_id("run_id").alias("run_id")).filter("run_id IS NOT NULL").distinct()
+    return ids(runs(spark, d)).join(ids(artifacts(spark, d)).union(ids(retrievals(spark, d))), "run_id", "left_anti")
 
 
 def q_scorecard(spark: SparkSession, d: str) -> DataFrame:
@@ -412,7 +412,7 @@ SQL = {
     "q_backoff": f"WITH {_STRIKES} SELECT user_id, least(3600.0, 60.0 * pow(2.0, fails - 1))::BIGINT AS wait_s FROM strikes",
     "q_stale": "SELECT run_id, (date_diff('microsecond', min(started_at), (SELECT max(started_at) FROM runs)) // 86400000000)::BIGINT AS days FROM runs WHERE ended_at IS NULL AND started_at IS NOT NULL GROUP BY 1 HAVING date_diff('microsecond', min(started_at), (SELECT max(started_at) FROM runs)) // 86400000000 >= 30",
     "q_version_drift": "WITH c AS (SELECT stage, model, count(*) AS n FROM llm_calls WHERE stage IS NOT NULL AND model IS NOT NULL GROUP BY 1, 2), t AS (SELECT stage, arg_max(model, (n, model)) AS usual FROM c GROUP BY 1) SELECT stage, model, usual, n FROM c JOIN t USING (stage) WHERE model <> usual",
-    "q_unused": "WITH r AS (SELECT intent, lower(trim(run_id)) AS id FROM runs WHERE intent IS NOT NULL) SELECT DISTINCT intent FROM r WHERE intent NOT IN (SELECT intent FROM r WHERE id IN (SELECT lower(trim(run_id)) FROM artifacts WHERE run_id IS NOT NULL))",
+    "q_unused": "SELECT lower(trim(run_id)) AS run_id FROM runs WHERE trim(run_id) <> '' EXCEPT (SELECT lower(trim(run_id)) FROM artifacts UNION ALL SELECT lower(trim(run_id)) FROM retrieval_events)",
     "q_scorecard": f"WITH v AS (SELECT 'calls' AS axis, avg((coalesce(status = 'failed', false))::INT) AS v FROM llm_calls UNION ALL SELECT 'verdicts', avg((quality_verdict <> 'keep')::INT) FROM artifacts WHERE quality_verdict IS NOT NULL UNION ALL SELECT 'retrieval', avg(({_RES} IS NULL)::INT) FROM retrieval_events), e AS (SELECT axis, round(v, 6) AS value, (CASE WHEN v >= 0.5 THEN 2 WHEN v >= 0.25 THEN 1 ELSE 0 END)::INTEGER AS lamp FROM v) SELECT * FROM e UNION ALL SELECT 'overall', NULL, max(lamp) FROM e",
     "q_decay": f"WITH {_CLAIMS} SELECT artifact_id, round(21.0::DOUBLE * pow(1.8::DOUBLE, s), 6) AS half_life, round({_R}, 6) AS r FROM claims",
     "q_status": f"WITH {_CLAIMS}, c AS (SELECT round({_R}, 9) AS r, CASE WHEN verdict = 'reject' THEN 'falsified' WHEN verdict = 'revise' THEN 'fading' WHEN verdict IS NULL THEN 'dormant' ELSE 'active' END AS status FROM claims) SELECT status, CASE WHEN status = 'falsified' THEN 'falsified' WHEN status = 'dormant' THEN CASE WHEN r > 0.6 THEN 'active' WHEN r > 0.3 THEN 'fading' ELSE 'dormant' END WHEN status = 'fading' THEN CASE WHEN r > 0.6 THEN 'active' WHEN r < 0.2 THEN 'dormant' ELSE 'fading' END WHEN r < 0.2 THEN 'dormant' WHEN r < 0.5 THEN 'fading' ELSE 'active' END AS next, count(*) AS n FROM c GROUP BY 1, 2",

@@ -20,9 +20,9 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_orphans(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of documents that have no text any more; a null document id is an orphan."""
+    """Chunks of documents that have no file (path) any more; a null document id is an orphan."""
     c = _chunks(spark, d).groupBy("doc_id").agg(F.count("*").alias("chunks"))
-    return c.join(_docs(spark, d).filter("text IS NOT NULL").select("doc_id"), "doc_id", "left_anti")
+    return c.join(_docs(spark, d).filter("path IS NOT NULL").select("doc_id"), "doc_id", "left_anti")
 
 
 def q_index_health(spark: SparkSession, d: str) -> DataFrame:
@@ -71,9 +71,11 @@ def q_asof(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_title_match(spark: SparkSession, d: str) -> DataFrame:
-    """Page titles against document headings of the recorded paths."""
-    asked = table(spark, d, "crawled_items").filter("title IS NOT NULL").select("title").distinct()
-    heads = _chunks(spark, d).select(F.explode("section_path").alias("title")).distinct()
+    """Page titles in small letters against the titles of pages: as they are without a text, stitched without a snippet, else a synthesis."""
+    items = table(spark, d, "crawled_items").filter("title IS NOT NULL")
+    asked = items.select(F.lower("title").alias("title")).distinct()
+    end = F.when(F.coalesce("content", F.lit("")) == "", "").when(F.coalesce("snippet", F.lit("")) == "", " (Stitched)").otherwise(" (Synthesis)")
+    heads = items.select(F.concat("title", end).alias("title")).distinct()
     return J.best_title(asked, heads)
 
 
@@ -267,13 +269,13 @@ _LINK = r"links AS (SELECT doc_id, trim(unnest(regexp_extract_all(coalesce(text,
 _RES = "CASE WHEN json_valid(results_json) THEN from_json(results_json, '[{\"id\":\"VARCHAR\",\"title\":\"VARCHAR\",\"source\":\"VARCHAR\"}]') END"
 _NORM = "lower(trim(regexp_replace(title, '\\s+', ' ', 'g')))"
 SQL = {
-    "q_orphans": f"WITH {_C} SELECT doc_id, count(*) AS chunks FROM c WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM documents WHERE text IS NOT NULL) GROUP BY 1",
+    "q_orphans": f"WITH {_C} SELECT doc_id, count(*) AS chunks FROM c WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM documents WHERE path IS NOT NULL) GROUP BY 1",
     "q_index_health": "WITH o AS (SELECT DISTINCT doc_id FROM documents JOIN split_profiles USING (profile) WHERE length(text) > max_chars), i AS (SELECT DISTINCT doc_id FROM chunk_snapshots) SELECT doc_id, 'unindexed' AS state FROM o WHERE doc_id NOT IN (SELECT doc_id FROM i) UNION ALL SELECT doc_id, 'stale' FROM i WHERE doc_id NOT IN (SELECT doc_id FROM o)",
     "q_link_lint": f"WITH {_LINK} SELECT target, count(*) AS links FROM links WHERE lower(target) NOT IN (SELECT k FROM titles) GROUP BY 1",
     "q_groundedness": f"WITH {_LINK}, g AS (SELECT doc_id, avg((lower(target) IN (SELECT k FROM titles))::INT) AS g FROM links GROUP BY 1) SELECT doc_id, round(coalesce(g, 1.0::DOUBLE), 6) AS groundedness FROM documents LEFT JOIN g USING (doc_id)",
     "q_interval_join": f"WITH {_C}, p AS (SELECT * FROM c WHERE char_end > char_start) SELECT p.doc_id, chunk_index, min(w) AS first_window, count(*) AS windows FROM p JOIN (SELECT doc_id, unnest(range(0, (n_chars - 1) // 1000 + 1)) AS w FROM documents WHERE n_chars > 0) v ON p.doc_id = v.doc_id AND char_start < w * 1000 + 1000 AND char_end > w * 1000 GROUP BY 1, 2",
     "q_asof": "SELECT b.event_id, strftime((SELECT max(c.ts) FROM events c WHERE c.event_type = 'click' AND c.user_id = b.user_id AND c.ts < b.ts), '%Y-%m-%d %H:%M:%S.%f') AS last_click FROM events b WHERE b.event_type = 'purchase'",
-    "q_title_match": f"WITH {_C}, r AS (SELECT DISTINCT title, {_NORM} AS k FROM crawled_items WHERE title IS NOT NULL), t AS (SELECT title AS match, {_NORM} AS m FROM (SELECT DISTINCT unnest(section_path) AS title FROM c)), s AS (SELECT r.title, t.match, CASE WHEN m = k THEN 100 WHEN m = k || ' (stitched)' THEN 95 WHEN m = k || ' (synthesis)' THEN 90 END AS score FROM r JOIN t ON m IN (k, k || ' (stitched)', k || ' (synthesis)') WHERE k <> '') SELECT title, match, score::INTEGER AS score FROM s QUALIFY row_number() OVER (PARTITION BY title ORDER BY score DESC, match) = 1",
+    "q_title_match": f"WITH {_C}, i AS (SELECT * FROM crawled_items WHERE title IS NOT NULL), r AS (SELECT title, {_NORM} AS k FROM (SELECT DISTINCT lower(title) AS title FROM i)), t AS (SELECT title AS match, {_NORM} AS m FROM (SELECT DISTINCT title || CASE WHEN coalesce(content, '') = '' THEN '' WHEN coalesce(snippet, '') = '' THEN ' (Stitched)' ELSE ' (Synthesis)' END AS title FROM i)), s AS (SELECT r.title, t.match, CASE WHEN m = k THEN 100 WHEN m = k || ' (stitched)' THEN 95 WHEN m = k || ' (synthesis)' THEN 90 END AS score FROM r JOIN t ON m IN (k, k || ' (stitched)', k || ' (synthesis)') WHERE k <> '') SELECT title, match, score::INTEGER AS score FROM s QUALIFY row_number() OVER (PARTITION BY title ORDER BY score DESC, match) = 1",
     "q_sym_edges": "WITH e AS (SELECT lower(trim(trace_id)) AS src, lower(trim(parent_trace_id)) AS dst FROM llm_calls WHERE trim(trace_id) <> '' AND trim(parent_trace_id) <> ''), s AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst) SELECT src, count(*) AS degree FROM s GROUP BY 1",
     "q_lineage": "WITH RECURSIVE l AS (SELECT lower(trim(run_id)) AS node, nullif(lower(trim(arg_max(coalesce(parent_run_id, ''), ingested_at))), '') AS parent FROM runs WHERE trim(run_id) <> '' GROUP BY 1), k AS (SELECT * FROM l WHERE parent IN (SELECT node FROM l)), w AS (SELECT node, parent AS ancestor, 1 AS distance, [node, parent] AS seen FROM k UNION ALL SELECT w.node, k.parent, w.distance + 1, list_append(w.seen, k.parent) FROM w JOIN k ON k.node = w.ancestor WHERE w.distance < 8 AND NOT list_contains(w.seen, k.parent)) SELECT node, count(*) AS ancestors, max(distance)::INTEGER AS farthest FROM w GROUP BY 1",
     "q_independent_sources": f"SELECT run_id, count(DISTINCT r.source) AS sources, count(DISTINCT r.id) AS documents FROM (SELECT lower(trim(run_id)) AS run_id, retrieval_id, unnest({_RES}) AS r FROM retrieval_events) WHERE run_id <> '' AND r.id IS NOT NULL AND r.id <> retrieval_id GROUP BY 1",

@@ -27,9 +27,14 @@ def build_session(master: str = "local[8]", partitions: int = 8, **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, named by the session in spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder all executors share, named by the session in spark.checkpoint.dir.
+
+    Without that setting a folder of this machine serves sessions whose executors all are this process; others fail.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + os.path.join(tempfile.gettempdir(), "corpusloom-shared")
     return named.rstrip("/")
 
@@ -38,7 +43,7 @@ class Stages:
     """Written tables that cut the lineage of iterative operators.
 
     Each ``cut`` writes a table into the shared folder and reads it back: a lost executor costs
-    the step in work only.  ``drop`` removes tables that later steps don't read any more.
+    the step in work only.  ``drop`` removes tables that later steps don't read any more, the end of the JVM all.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -48,6 +53,9 @@ class Stages:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.option("compression", "zstd").parquet(path)
+        if self.n == 1:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(at)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._corpusloom_path = path
         return out

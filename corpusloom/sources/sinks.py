@@ -13,9 +13,12 @@ def newest(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc_nulls_last()))).filter("_n = 1").drop("_n")
 
 
-def upserted(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """The table with the rows in place of those of their keys."""
-    return table.join(rows.select(key).distinct(), key, "left_anti").unionByName(rows.dropDuplicates([key]))
+def upserted(table: DataFrame, rows: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """The table with the rows in place of those of their keys.  Of several rows of one key the last by ``order`` holds, and on a
+    tie, or without an order, the greatest by its values."""
+    values = F.struct(*([F.col(order)] if order else []), *[F.to_json(F.struct(c)) for c in sorted(rows.columns) if c != key])
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), values).alias("_r")).select("_r.*")
+    return table.join(rows.select(key).distinct(), key, "left_anti").unionByName(last)
 
 
 def without(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:

@@ -40,6 +40,11 @@ class VersionedTables:
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{self.root}/{version}/{name}")
         self._fs().create(self._path(version, "_DONE"), True).close()
+        # the version before stays for a batch that is run again, older ones go
+        for s in self._fs().listStatus(self._path()):
+            name = s.getPath().getName()
+            if name.isdigit() and int(name) < version - 1:
+                self._fs().delete(s.getPath(), True)
 
 
 def orphan_sink(spark: SparkSession, root: str, references, parents):  # noqa: ANN001, ANN201
@@ -63,15 +68,16 @@ def orphan_sink(spark: SparkSession, root: str, references, parents):  # noqa: A
     return apply
 
 
-def index_sink(spark: SparkSession, root: str, key: str, text: str):  # noqa: ANN201
-    """A foreachBatch function that keeps (key, text, digest) of the newest text per key; unchanged ones aren't written anew."""
+def index_sink(spark: SparkSession, root: str, key: str, text: str, order: str):  # noqa: ANN201
+    """A foreachBatch function that keeps (key, text, digest) of the newest text per key by the column ``order``, on a tie the
+    greatest; a batch's texts are newer than those kept."""
     tables = VersionedTables(spark, root)
 
     def apply(batch: DataFrame, epoch: int) -> None:
         at = tables.version()
         if at >= epoch:
             return
-        new = batch.groupBy(key).agg(F.max(text).alias(text)).withColumn("digest", F.sha2(F.coalesce(text, F.lit("")), 256))
+        new = batch.groupBy(key).agg(F.max_by(text, F.struct(order, text)).alias(text)).withColumn("digest", F.sha2(F.coalesce(text, F.lit("")), 256))
         if at < 0:
             tables.write(epoch, index=new)
             return

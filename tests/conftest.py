@@ -5,6 +5,6 @@ from corpusloom.session import build_session
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session("local[4]", 2, **{"spark.sql.adaptive.enabled": "false", "spark.sql.codegen.wholeStage": "false"})
+    s = build_session("local[4]", 2)
     s.conf.set("spark.sql.session.timeZone", "UTC")
     return s

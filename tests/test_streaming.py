@@ -57,8 +57,8 @@ def test_orphan_sink_versions(spark, tmp_path):
 
 
 def test_index_sink(spark, tmp_path):
-    sink = ledger.index_sink(spark, str(tmp_path / "i"), "k", "t")
-    sink(spark.createDataFrame([(1, "a"), (2, "b")], "k int, t string"), 0)
-    sink(spark.createDataFrame([(2, "c"), (3, None)], "k int, t string"), 1)
+    sink = ledger.index_sink(spark, str(tmp_path / "i"), "k", "t", "n")
+    sink(spark.createDataFrame([(1, "z", 1), (1, "a", 2), (2, "b", 1)], "k int, t string, n int"), 0)
+    sink(spark.createDataFrame([(2, "a", 1), (2, "c", 2), (3, None, 1)], "k int, t string, n int"), 1)
     got = {(r.k, r.t) for r in ledger.VersionedTables(spark, str(tmp_path / "i")).read("index").collect()}
     assert got == {(1, "a"), (2, "c"), (3, None)}
