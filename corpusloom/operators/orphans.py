@@ -1,14 +1,15 @@
 """References to records that do not exist (problem 4).
 
-Method: keyed pending-orphan state, maintained incrementally.  The state is two tables:
+Method: keyed pending-orphan state, maintained incrementally.  The state is
 
-* ``parents``: per target table and id the first and last time a row of it was ingested and the last time it was pruned;
-* ``references``: per record and field the target, when the record was first ingested, its period, and the reason why
-  the reference is an orphan now (null: resolved).
+* ``parents``, a log of changes per target table and id: the first and last time a row of it was ingested, the last time it
+  was pruned;
+* ``references``, a log of who refers to what, and when the record was first ingested;
+* ``pending``, the references that are orphans now, with the reason.
 
 A batch brings new references, new parents and deletions.  New references probe the parent index; parents and deletions
-only touch the references that wait on their keys (arriving parents resolve them or make them late, deletions reopen
-them).  Everything else keeps its state.  Counts per table, field, reason and period can be snapshot at any time.
+only touch the references of their keys (arriving parents resolve them or make them late, deletions reopen them).
+Everything else keeps its state.  Counts per table, field, reason and period can be snapshot at any time.
 
 The probe first meets distinct keys only (references are aggregated per key before the shuffle), so a key that a third
 of all rows refer to is one row in the join; only keys with orphans meet the references again.
@@ -19,12 +20,14 @@ their earliest, the period that of their earliest ``ts`` (null for null).  Null
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.ids import clean_id
+from corpusloom.session import Stages
 
 #: reason of a reference to a key with these times, by a record first ingested at ``seen``
 _REASON = """
@@ -71,49 +74,68 @@ def probe(refs: DataFrame, parents: DataFrame) -> DataFrame:
     return refs.join(open_keys, ["target", "ref"]).withColumn("reason", F.expr(_REASON)).filter("reason IS NOT NULL").drop("first_at", "last_at", "pruned_at")
 
 
+_RECORD = ["table_name", "record_id"]
+_KEY = ["target", "ref"]
+_REFERENCE = [*_RECORD, "field", *_KEY]
+REFERENCES = "table_name string, record_id string, field string, target string, ref string, seen timestamp, period string"
+PARENTS = "target string, ref string, first_at timestamp, last_at timestamp, pruned_at timestamp"
+
+
 @dataclass
 class OrphanState:
-    """The state; ``apply`` gives the next one and leaves this as it is.  Write both tables after each batch to cut lineage."""
+    """The state after some batches; ``apply`` gives the next one and leaves this as it is.
+
+    ``references`` and ``parents`` are logs that batches only add to (``added`` and ``changed`` are what the last one added);
+    ``pending`` holds the orphans, keyed, with their reason.  A batch evaluates the references of its own records and those
+    that wait on, or were resolved by, keys it changes; write what it added and ``pending`` to cut lineage.
+    """
 
-    parents: DataFrame
     references: DataFrame
+    parents: DataFrame
+    pending: DataFrame
+    added: DataFrame | None = None
+    changed: DataFrame | None = None
 
     @classmethod
-    def first(cls, refs: DataFrame, parents: DataFrame) -> OrphanState:
-        return cls(parents, _with_reasons(refs, parents))
-
-    def apply(self, new_refs: DataFrame, changes: DataFrame) -> OrphanState:
-        """``changes``: parent_times and deletions of the batch."""
-        changes = _parents(changes)
-        parents = _parents(self.parents.unionByName(changes))
-        keys = changes.select("target", "ref")
-        old = self.references.unionByName(new_refs.withColumn("reason", F.lit(None).cast("string")))
-        # a record seen again: its first ingestion is the earlier one
-        old = old.groupBy("table_name", "record_id", "field", "target", "ref").agg(F.min("seen").alias("seen"), F.min("period").alias("period"), F.max("reason").alias("reason"))
-        fresh = new_refs.select("target", "ref").unionByName(keys).distinct()
-        touched = old.join(fresh, ["target", "ref"], "left_semi").drop("reason")
-        kept = old.join(fresh, ["target", "ref"], "left_anti")
-        near = parents.join(fresh, ["target", "ref"], "left_semi")
-        return OrphanState(parents, kept.unionByName(_with_reasons(touched, near)))
+    def empty(cls, spark: SparkSession) -> OrphanState:
+        return cls(spark.createDataFrame([], REFERENCES), spark.createDataFrame([], PARENTS), spark.createDataFrame([], REFERENCES + ", reason string"))
+
+    def apply(self, new_refs: DataFrame, changes: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> OrphanState:
+        """``changes``: parent_times and deletions of the batch.  ``keep`` writes a table and gives it back."""
+        changes = keep(_parents(changes))
+        # a record that comes again was first seen in the earlier batch: its references, old and new, get the earliest times
+        own = Window.partitionBy(*_RECORD)
+        again = self.references.join(new_refs.select(*_RECORD).distinct(), _RECORD, "left_semi")
+        both = new_refs.unionByName(again).withColumn("seen", F.min("seen").over(own)).withColumn("period", F.min("period").over(own))
+        added = keep(_once(both))
+        touched = _once(self.references.join(changes.select(*_KEY), _KEY, "left_semi").unionByName(added))
+        near = self.parents.unionByName(changes).join(touched.select(*_KEY).distinct(), _KEY, "left_semi")
+        found = probe(touched, _parents(near))
+        pending = keep(self.pending.join(touched.select(*_REFERENCE), _REFERENCE, "left_anti").unionByName(found))
+        return OrphanState(self.references.unionByName(added), self.parents.unionByName(changes), pending, added, changes)
 
     def orphans(self) -> DataFrame:
-        return self.references.filter("reason IS NOT NULL")
+        return self.pending
 
     def snapshot(self) -> DataFrame:
         """Counts per table, field, reason and period."""
         return self.orphans().groupBy("table_name", "field", "reason", "period").agg(F.count("*").alias("orphans"))
 
 
-def _with_reasons(refs: DataFrame, parents: DataFrame) -> DataFrame:
-    """All references, the reason null where resolved."""
-    found = probe(refs, parents)
-    on = ["table_name", "record_id", "field", "target", "ref"]
-    return refs.join(found.select(*on, "reason"), on, "left")
+def _once(refs: DataFrame) -> DataFrame:
+    return refs.groupBy(*_REFERENCE).agg(F.min("seen").alias("seen"), F.min("period").alias("period"))
 
 
-def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
-    """The orphans of a state that begins empty and takes everything as one batch."""
-    return probe(refs, parents)
+def in_batches(spark: SparkSession, refs: Callable[[Column], DataFrame], changes: Callable[[Column], DataFrame], bounds: list) -> OrphanState:
+    """The state after batches by time, each written before the next: ``refs(when)`` and ``changes(when)`` give what came in
+    while ``when``, a condition on a column ``at``, holds; ``bounds`` are the times between batches.  Null times come first."""
+    stages, state = Stages(spark, "orphans"), OrphanState.empty(spark)
+    at = F.col("at")
+    edges = [None, *bounds, None]
+    for low, high in zip(edges, edges[1:]):
+        when = (at >= F.lit(low) if low is not None else F.lit(True)) & (at < F.lit(high) if high is not None else F.lit(True))
+        state = state.apply(refs(when if low is not None else when | at.isNull()), changes(when if low is not None else when | at.isNull()), stages.cut)
+    return state
 
 
 def reason_of(first_at: Column, last_at: Column, pruned_at: Column, seen: Column) -> Column:

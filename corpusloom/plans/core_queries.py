@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import hierarchy, orphans
@@ -43,24 +43,37 @@ def p3_cycles(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.kind_and_id(_hierarchy(spark, d).cycles()).select("node_kind", "node_id", F.expr("substring(cycle_id, 3)").alias("cycle_id"), "length")
 
 
-def _references(spark: SparkSession, d: str) -> DataFrame:
+#: Batches by time in which the tables are applied to the pending-orphan state.
+ORPHAN_BATCHES = 3
+
+
+def _orphan_state(spark: SparkSession, d: str) -> orphans.OrphanState:
+    """The state after the tables have come in batches by ingestion time, deletions by the time of pruning."""
     to = {"run_id": "runs", "trace_id": "llm_calls"}
-    return orphans.references(table(spark, d, "artifacts"), "artifacts", "artifact_id", to).unionByName(orphans.references(table(spark, d, "retrieval_events"), "retrieval_events", "retrieval_id", to))
+    t = {n: table(spark, d, n) for n in ("artifacts", "retrieval_events", "runs", "llm_calls", "prune_log")}
+
+    def refs(when: Column) -> DataFrame:
+        part = lambda n: t[n].withColumn("at", F.col("ingested_at")).filter(when)
+        return orphans.references(part("artifacts"), "artifacts", "artifact_id", to).unionByName(orphans.references(part("retrieval_events"), "retrieval_events", "retrieval_id", to))
 
+    def changes(when: Column) -> DataFrame:
+        part = lambda n, at: t[n].withColumn("at", F.col(at)).filter(when)
+        rows = orphans.parent_times(part("runs", "ingested_at"), "runs", "run_id").unionByName(orphans.parent_times(part("llm_calls", "ingested_at"), "llm_calls", "trace_id"))
+        return rows.unionByName(orphans.deletions(part("prune_log", "pruned_at")))
 
-def _parents(spark: SparkSession, d: str) -> DataFrame:
-    rows = orphans.parent_times(table(spark, d, "runs"), "runs", "run_id").unionByName(orphans.parent_times(table(spark, d, "llm_calls"), "llm_calls", "trace_id"))
-    return orphans._parents(rows.unionByName(orphans.deletions(table(spark, d, "prune_log"))))
+    ends = t["llm_calls"].agg(F.min("ingested_at").alias("a"), F.max("ingested_at").alias("b")).first()
+    bounds = [ends.a + (ends.b - ends.a) * k / ORPHAN_BATCHES for k in range(1, ORPHAN_BATCHES)] if ends.a and ends.b and ends.a < ends.b else []
+    return orphans.in_batches(spark, refs, changes, bounds)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Every orphan reference."""
-    return orphans.orphan_references(_references(spark, d), _parents(spark, d)).select("table_name", "record_id", "field", "reason", "period")
+    """Every orphan reference that is pending after the last batch."""
+    return _orphan_state(spark, d).orphans().select("table_name", "record_id", "field", "reason", "period")
 
 
 def p4_snapshot(spark: SparkSession, d: str) -> DataFrame:
     """Orphans per table, field, reason and month."""
-    return orphans.OrphanState.first(_references(spark, d), _parents(spark, d)).snapshot()
+    return _orphan_state(spark, d).snapshot()
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

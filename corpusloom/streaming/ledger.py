@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators.joins import changed
-from corpusloom.operators.orphans import OrphanState
+from corpusloom.operators.orphans import PARENTS, REFERENCES, OrphanState
 
 
 class VersionedTables:
     """Named tables in a folder, replaced together; the newest complete version is the greatest one with a marker."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, keep: int | None = 2):
+        """``keep``: how many versions stay; None for logs, of which every version is a part."""
+        self.spark, self.root, self.keep = spark, root.rstrip("/"), keep
 
     def _fs(self):  # noqa: ANN202
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
@@ -41,29 +42,35 @@ class VersionedTables:
             df.write.mode("overwrite").parquet(f"{self.root}/{version}/{name}")
         self._fs().create(self._path(version, "_DONE"), True).close()
         # the version before stays for a batch that is run again, older ones go
-        for s in self._fs().listStatus(self._path()):
+        for s in self._fs().listStatus(self._path()) if self.keep else []:
             name = s.getPath().getName()
-            if name.isdigit() and int(name) < version - 1:
+            if name.isdigit() and int(name) <= version - self.keep:
                 self._fs().delete(s.getPath(), True)
 
+    def log(self, name: str, versions: range, schema: str) -> DataFrame:
+        """What complete versions added to a log."""
+        done = [f"{self.root}/{v}/{name}" for v in versions if self._fs().exists(self._path(v, "_DONE"))]
+        return self.spark.read.schema(schema).parquet(*done)
+
 
 def orphan_sink(spark: SparkSession, root: str, references, parents):  # noqa: ANN001, ANN201
     """A foreachBatch function over a stream of rows: ``references(batch)`` and ``parents(batch)`` give what it brings.
 
-    Version n holds the state after batch n; a batch that is already in a version is skipped.
+    Version n holds what batch n added to the logs and the orphans pending after it; a batch that is already in a version
+    is skipped.
     """
-    tables = VersionedTables(spark, root)
+    tables = VersionedTables(spark, root, keep=None)
 
     def apply(batch: DataFrame, epoch: int) -> None:
         at = tables.version()
         if at >= epoch:
             return
-        refs, changes = references(batch), parents(batch)
-        if at < 0:
-            state = OrphanState.first(refs, changes)
-        else:
-            state = OrphanState(tables.read("parents", at), tables.read("references", at)).apply(refs, changes)
-        tables.write(epoch, parents=state.parents, references=state.references)
+        state = OrphanState.empty(spark)
+        if at >= 0:
+            every = range(at + 1)
+            state = OrphanState(tables.log("references", every, REFERENCES), tables.log("parents", every, PARENTS), tables.read("pending", at))
+        after = state.apply(references(batch), parents(batch))
+        tables.write(epoch, references=after.added, parents=after.changed, pending=after.pending)
 
     return apply
 

@@ -40,26 +40,36 @@ def found(df):
 
 
 def test_reasons(spark):
-    assert found(O.orphan_references(refs(spark, ROWS), O._parents(parents(spark, PARENTS, DELETED)))) == WANT
-
-
-def kept(state):
-    """The state with its tables kept, as a job would write them."""
-    return O.OrphanState(state.parents.cache(), state.references.cache())
+    assert found(O.OrphanState.empty(spark).apply(refs(spark, ROWS), parents(spark, PARENTS, DELETED)).orphans()) == WANT
 
 
 def test_batches_give_what_one_batch_gives(spark):
-    state = kept(O.OrphanState.first(refs(spark, ROWS[:3]), O._parents(parents(spark, PARENTS[:1], []))))
+    step = lambda state, rows, new, log: state.apply(refs(spark, rows), parents(spark, new, log), lambda df: df.cache())
+    state = step(O.OrphanState.empty(spark), ROWS[:3], PARENTS[:1], [])
     assert found(state.orphans()) == {("a2", "missing", "2025-03")}
-    state = kept(state.apply(refs(spark, ROWS[3:]), parents(spark, [], [])))
+    state = step(state, ROWS[3:], [], [])
     assert {r for _, r, _ in found(state.orphans())} == {"missing"} and state.orphans().count() == 4
-    state = kept(state.apply(refs(spark, []), parents(spark, PARENTS[1:], [])))  # parents arrive
+    state = step(state, [], PARENTS[1:], [])  # parents arrive
     assert found(state.orphans()) == {("a2", "missing", "2025-03"), ("a3", "late", "2025-04")}
-    state = kept(state.apply(refs(spark, []), parents(spark, [], DELETED)))  # deletions reopen
+    state = step(state, [], [], DELETED)  # deletions reopen
     assert found(state.orphans()) == WANT
     counts = {(r.reason, r.period): r.orphans for r in state.snapshot().collect()}
     assert counts == {("missing", "2025-03"): 1, ("late", "2025-04"): 1, ("deleted", "2025-03"): 1}
 
 
+def test_only_changed_keys_are_evaluated(spark):
+    state = O.OrphanState.empty(spark).apply(refs(spark, ROWS), parents(spark, PARENTS, []), lambda df: df.cache())
+    after = state.apply(refs(spark, []), parents(spark, [("gone", day(0))], []), lambda df: df.cache())
+    assert after.added.count() == 0 and [r.ref for r in after.changed.collect()] == ["gone"] and found(after.orphans()) == {("a3", "late", "2025-04")}
+
+
+def test_a_record_that_comes_again(spark):
+    """Its first ingestion is the earlier one, whichever batch brings it, for all its references."""
+    state = O.OrphanState.empty(spark).apply(refs(spark, [("a", "x", None, day(50), day(9), "")]), parents(spark, [("x", day(5)), ("y", day(5))], []), lambda df: df.cache())
+    assert found(state.orphans()) == set()
+    state = state.apply(refs(spark, [("a", "y", None, day(0), day(1), "")]), parents(spark, [], []), lambda df: df.cache())
+    assert {(r.ref, r.reason, r.period) for r in state.orphans().collect()} == {("x", "late", "2025-03"), ("y", "late", "2025-03")}
+
+
 def test_empty(spark):
-    assert O.orphan_references(refs(spark, []), O._parents(parents(spark, [], []))).count() == 0
+    assert O.OrphanState.empty(spark).apply(refs(spark, []), parents(spark, [], [])).orphans().count() == 0
