@@ -52,9 +52,7 @@ MAY_END = frozenset("etc usw ff a.m p.m u.s u.k т.д т.п др jr sr. inc ltd
 #: Words after which a number with a full stop is a German ordinal.
 ORDINAL_AFTER = frozenset("im am vom zum beim der dem den des die das ab bis seit zur nach jeder jeden".split())
 
-#: Names written in lower case at the beginning of a sentence (a parameter of the suppression rules).
-LOWER_NAMES = ("vaultd", "vaultctl")
-
+_SMALL_WORD = re.compile(r"[^\W\d_][\w-]*")
 #: Opening marks that close in some languages, and what opens there.
 _CLOSES = {"\u201c": "\u201e", "\u2018": "\u201a", "\u00ab": "\u00bb", "\u2039": "\u203a"}
 
@@ -97,6 +95,18 @@ def _word_before(text: str, lo: int, i: int) -> str:
     return text[j:i]
 
 
+def _begins_elsewhere(text: str, at: int) -> bool:
+    """Whether the word in small letters at ``at``, such as a program's name, begins a paragraph or surely a sentence elsewhere in the text."""
+    m = _SMALL_WORD.match(text, at)
+    if not m:
+        return False
+    for found in re.finditer(rf"(?:(\w+)\.\s+|[!?]\s+|\A|\n\s*\n){re.escape(m.group())}(?![\w-])", text):
+        before = (found.group(1) or "words").lower()
+        if len(before) > 2 and not before.isdigit() and before not in NO_END and before not in MAY_END:
+            return True
+    return False
+
+
 def _suppressed(text: str, lo: int, i: int, after: str, at: int) -> bool:
     """Whether the full stop at i, followed by blanks and then ``after``, belongs to an abbreviation, initial or ordinal."""
     word = _word_before(text, lo, i)
@@ -106,9 +116,9 @@ def _suppressed(text: str, lo: int, i: int, after: str, at: int) -> bool:
     if low in NO_END:
         return True
     if low in MAY_END:
-        return after.islower() and not text.startswith(LOWER_NAMES, at)
+        return after.islower() and not _begins_elsewhere(text, at)
     if "." in word and after.islower() and all(len(x) == 1 for x in word.rstrip(".").split(".")):
-        return not text.startswith(LOWER_NAMES, at)
+        return not _begins_elsewhere(text, at)
     if len(word) == 1 and word.isalpha():
         if not word.isupper() and not word.islower():  # no case: an initial in Arabic or Thai, but not an ideograph
             return not "\u3040" <= word <= "\ua4cf" and not "\u0900" <= word <= "\u0dff"
