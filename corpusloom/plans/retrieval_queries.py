@@ -145,6 +145,37 @@ def q_embedding_cache(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("cache_key").agg(F.max(F.coalesce(good, F.lit(False))).alias("usable")).filter("NOT usable").select("cache_key")
 
 
+def _retrieved(spark: SparkSession, d: str, use_facets: bool = True) -> DataFrame:
+    """Documents with a vector of their id as chunks, texts under 200 characters as facets; queries are the file names of documents."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    docs = _docs(spark, d).filter("text IS NOT NULL AND n_chars > 0").join(e, "doc_id")
+    role = F.when(F.col("n_chars") < 200, "facet").otherwise("chunk")
+    chunks = docs.select(F.col("doc_id").alias("id"), "text", "embedding", role.alias("role"), "profile", F.col("source").alias("key"))
+    asked = docs.filter("doc_id % 100 = 0 AND path IS NOT NULL").select(F.col("doc_id").alias("query_id"), F.regexp_replace(F.lower("path"), "[^a-z0-9]+", " ").alias("query"), "embedding")
+    tokens = lambda c: F.array_distinct(T.tokens(c))
+    share = lambda q, t: F.size(F.array_intersect(tokens(q), tokens(t))) / F.greatest(F.lit(1), F.size(tokens(q)))
+    index = R.LexicalIndex.build(chunks, "id", "text")
+    return R.retrieve(asked, chunks, index, 10, use_facets=use_facets, where=F.col("profile").isNotNull(), rerank=share)
+
+
+def q_retrieve(spark: SparkSession, d: str) -> DataFrame:
+    """The whole pipeline: vectors, BM25, fusion, fetch of missing ids, rerank, cap per source."""
+    return _retrieved(spark, d)
+
+
+def q_bench(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a document is found by its file name and vector, with the facets and without them, and the lift by facets."""
+    golden = _retrieved_golden(spark, d)
+    on, off = (R.bench(_retrieved(spark, d, f), golden) for f in (True, False))
+    return on.join(F.broadcast(off.select(F.col("passed").alias("passed_off")))).withColumn("facet_lift", F.col("passed") - F.col("passed_off"))
+
+
+def _retrieved_golden(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    docs = _docs(spark, d).filter("text IS NOT NULL AND n_chars > 0 AND doc_id % 100 = 0 AND path IS NOT NULL").join(e, "doc_id")
+    return docs.select(F.col("doc_id").alias("query_id"), F.col("doc_id").alias("id"))
+
+
 QUERIES = {n: f for n, f in globals().items() if n.startswith("q_")}
 
 _TOK = r"regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9_]+|[\x{{4e00}}-\x{{9fff}}]')"
@@ -168,7 +199,24 @@ l2v AS (SELECT query_id, vec_id, round(list_distance(qe, xe) ** 2, 6) AS value F
 cosr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY value DESC, vec_id) AS rank FROM cosv),
 l2r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY value, vec_id) AS rank FROM l2v)
 """
+_RETRIEVE = (
+    _BM25.replace("queries AS (SELECT item_id AS query_id, min(title) AS query FROM crawled_items WHERE item_id % 100 = 0 AND title IS NOT NULL GROUP BY 1),", """
+chunks AS (SELECT doc_id, text, embedding::DOUBLE[] AS v, n_chars < 200 AS facet, profile, source FROM documents JOIN embeddings ON vec_id = doc_id WHERE text IS NOT NULL AND n_chars > 0),
+queries AS (SELECT doc_id AS query_id, regexp_replace(lower(path), '[^a-z0-9]+', ' ', 'g') AS query, embedding::DOUBLE[] AS qv FROM documents JOIN embeddings ON vec_id = doc_id WHERE text IS NOT NULL AND n_chars > 0 AND doc_id % 100 = 0 AND path IS NOT NULL),""").replace("FROM documents)", "FROM chunks)")
+    + rf""",
+runs_of AS (SELECT unnest([true, false]) AS facets),
+ok AS (SELECT facets, c.* FROM chunks c, runs_of WHERE profile IS NOT NULL AND (facets OR NOT facet)),
+vec AS (SELECT * FROM (SELECT facets, query_id, doc_id, row_number() OVER (PARTITION BY facets, query_id ORDER BY round(list_cosine_similarity(qv, v), 6) DESC, doc_id) AS vector_rank FROM queries, ok) WHERE vector_rank <= 50),
+lex AS (SELECT facets, query_id, doc_id, rank AS bm25_rank FROM ranked JOIN ok USING (doc_id) WHERE rank <= 50),
+pool AS (SELECT facets, query_id, doc_id, vector_rank, bm25_rank, round(coalesce(1.0::DOUBLE / (60 + vector_rank), 0) + coalesce(1.0::DOUBLE / (60 + bm25_rank), 0), 8) AS score FROM vec FULL JOIN lex USING (facets, query_id, doc_id)),
+reranked AS (SELECT p.*, c.source, round(len(list_intersect(list_distinct({_TOK.format('query')}), list_distinct({_TOK.format('text')}))) / greatest(1, len(list_distinct({_TOK.format('query')})))::DOUBLE, 6) AS rerank_score FROM pool p JOIN queries USING (query_id) JOIN chunks c USING (doc_id)),
+capped AS (SELECT * FROM reranked QUALIFY row_number() OVER (PARTITION BY facets, query_id, source ORDER BY rerank_score DESC, score DESC, doc_id) <= 2),
+final AS (SELECT *, row_number() OVER (PARTITION BY facets, query_id ORDER BY rerank_score DESC, score DESC, doc_id) AS rank FROM capped QUALIFY rank <= 10)
+"""
+)
 SQL = {
+    "q_retrieve": f"WITH {_RETRIEVE} SELECT query_id, doc_id AS id, vector_rank::INTEGER AS vector_rank, bm25_rank::INTEGER AS bm25_rank, score, rerank_score, rank::INTEGER AS rank FROM final WHERE facets",
+    "q_bench": f"WITH {_RETRIEVE}, p AS (SELECT count(*) AS total, count(*) FILTER (query_id IN (SELECT query_id FROM final WHERE facets AND doc_id = query_id)) AS passed, count(*) FILTER (query_id IN (SELECT query_id FROM final WHERE NOT facets AND doc_id = query_id)) AS passed_off FROM queries) SELECT total, passed, round(passed / total, 6) AS pass_rate, CASE WHEN passed / total < 0.8 THEN 'failed' ELSE 'passed' END AS status, passed_off, passed - passed_off AS facet_lift FROM p",
     "q_tokens": f"SELECT doc_id, len(t)::INTEGER AS tokens, len(list_distinct(t))::INTEGER AS distinct_tokens FROM (SELECT doc_id, {_TOK.format('text')} AS t FROM documents)",
     "q_bm25": f"WITH {_BM25} SELECT query_id, doc_id, score, rank::INTEGER AS rank FROM ranked WHERE rank <= 10",
     "q_doc_cap": f"WITH {_BM25} SELECT query_id, doc_id, source, rank::INTEGER AS rank FROM (SELECT r.query_id, r.doc_id, d.source, r.rank, row_number() OVER (PARTITION BY r.query_id, d.source ORDER BY r.rank) AS n FROM ranked r JOIN documents d USING (doc_id) WHERE r.rank <= 30) WHERE n <= 2",
