@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import hierarchy, orphans
-from corpusloom.plans import corpus_queries, event_queries, kernel_queries, retrieval_queries, text_queries
+from corpusloom.plans import corpus_queries, event_queries, index_queries, kernel_queries, retrieval_queries, text_queries
 from corpusloom.plans.retrieval_queries import flagship  # noqa: F401
 from corpusloom.sources.tables import table
 
@@ -83,4 +83,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_cycles": p3_cycles,
     "p4_found": p4_found,
     "p4_snapshot": p4_snapshot,
-} | retrieval_queries.QUERIES | event_queries.QUERIES | text_queries.QUERIES | kernel_queries.QUERIES | corpus_queries.QUERIES
+} | retrieval_queries.QUERIES | event_queries.QUERIES | text_queries.QUERIES | kernel_queries.QUERIES | corpus_queries.QUERIES | index_queries.QUERIES

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import corpus_queries, event_queries, retrieval_queries, text_queries
+from corpusloom.plans import corpus_queries, event_queries, index_queries, retrieval_queries, text_queries
 
 _LINKS = """
 links AS (
@@ -59,4 +59,4 @@ SELECT node_kind, start AS node_id, low AS cycle_id, steps AS length FROM walk W
     "p4_found": f"WITH {_ORPHANS} SELECT table_name, record_id, field, reason, period FROM orphans WHERE reason IS NOT NULL",
     "p4_snapshot": f"WITH {_ORPHANS} SELECT table_name, field, reason, period, count(*) AS orphans FROM orphans WHERE reason IS NOT NULL GROUP BY ALL",
 }
-SQL |= retrieval_queries.SQL | event_queries.SQL | text_queries.SQL | corpus_queries.SQL
+SQL |= retrieval_queries.SQL | event_queries.SQL | text_queries.SQL | corpus_queries.SQL | index_queries.SQL
