@@ -98,7 +98,9 @@ class OrphanState:
 
     @classmethod
     def empty(cls, spark: SparkSession) -> OrphanState:
-        return cls(spark.createDataFrame([], REFERENCES), spark.createDataFrame([], PARENTS), spark.createDataFrame([], REFERENCES + ", reason string"))
+        # an empty range, which the optimiser knows to be empty, so that the first batch joins nothing
+        none = lambda schema: spark.range(0).select(*[F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in schema.split(", ")])
+        return cls(none(REFERENCES), none(PARENTS), none(REFERENCES + ", reason string"))
 
     def apply(self, new_refs: DataFrame, changes: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> OrphanState:
         """``changes``: parent_times and deletions of the batch.  ``keep`` writes a table and gives it back."""
