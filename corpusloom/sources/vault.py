@@ -46,7 +46,7 @@ def parse_claim(text: str) -> dict | None:
     if not meta.get("claim_id") or not meta.get("claim"):
         return None
     evidence = [e for e in meta.get("evidence") or [] if isinstance(e, dict) and e.get("insight")]
-    return {"claim_id": str(meta["claim_id"]), "claim": str(meta["claim"]), "status": str(meta.get("status") or "active"), "confidence": 0.5 if meta.get("confidence") is None else float(meta["confidence"]), "S": float(meta.get("S") or 0.0), "evidence": evidence, **{k: [str(x) for x in meta.get(k) or []] for k in ("contradictions", "related", "variants")}, "body": body}
+    return {"claim_id": str(meta["claim_id"]), "claim": str(meta["claim"]), "status": str(meta.get("status") or "active"), "confidence": 0.5 if meta.get("confidence") is None else float(meta["confidence"]), "S": float(meta.get("S") or 0.0), "evidence": evidence, **{k: [str(x) for x in meta[k]] for k in ("contradictions", "related", "variants") if isinstance(meta.get(k), list)}, "body": body}
 
 
 def render_claim(page: dict) -> str:

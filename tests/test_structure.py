@@ -34,3 +34,19 @@ def test_knob():
     assert k.move(10, None, 9) == ("insufficient", 10) and k.move(10, 0.9, 9, before=8) == ("rollback", 8)
     assert k.move(10, 0.5, 9) == ("down", 8.0) and k.move(10, 0.1, 9) == ("up", 12.0) and k.move(10, 0.3, 9) == ("hold", 10)
     assert k.move(5, 0.5, 9) == ("hold", 5) and k.move(10, 0.5, 9, due=False) == ("cooldown", 10)
+
+
+def test_lenient_json_tries_every_bracket_and_repairs_escapes_in_one_pass():
+    from corpusloom.functions.extract import lenient_json
+
+    assert lenient_json('x [note] then {"a": 1}') == {"a": 1}
+    assert lenient_json(r'{"a": "\\D and \q"}') == {"a": r"\D and \q"}
+    assert lenient_json(r'{"a": "\frac \Delta"}') == {"a": r"\frac \Delta"}
+    assert lenient_json('[{"a": 1}, {"b') == [{"a": 1}] and lenient_json("none [here]") is None
+
+
+def test_division_headings():
+    from corpusloom.functions.structure import all_capitals, names_division
+
+    assert all(map(names_division, ("CHAPTER IV", "PART 2: on", "第十二章 家"))) and not any(map(names_division, ("CHAPTER", "PART of it", "第章", "Chapter 1", "")))
+    assert all_capitals("THE OLD HOUSE") and not all_capitals("THE") and not all_capitals("The Old")
