@@ -35,8 +35,7 @@ def q_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ranked_bm25(spark: SparkSession, d: str, k: int, queries: DataFrame | None = None) -> DataFrame:
-    scored = R.bm25(_title_queries(spark, d) if queries is None else queries, _docs(spark, d), "doc_id", "text").withColumn("score", F.round("score", 6))
-    return R.top_k(scored, k, "query_id", F.col("score").desc(), F.col("doc"))
+    return R.bm25_top(_title_queries(spark, d) if queries is None else queries, _docs(spark, d), "doc_id", "text", k)
 
 
 def q_bm25(spark: SparkSession, d: str) -> DataFrame:
