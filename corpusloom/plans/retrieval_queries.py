@@ -5,13 +5,14 @@ Search queries are the rows whose id is divisible by 100, against all rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions import vectors as V
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import stats
+from corpusloom.session import Stages
 from corpusloom.sources.tables import spread, table
 
 
@@ -89,11 +90,11 @@ def q_rrf(spark: SparkSession, d: str) -> DataFrame:
 
 def q_hybrid(spark: SparkSession, d: str) -> DataFrame:
     """Lexical rank fused with recency rank of the same candidates."""
-    lexical = _ranked_bm25(spark, d, 30)
+    lexical = Stages(spark, "hybrid").cut(_ranked_bm25(spark, d, 30))  # both rankings read it
     dated = lexical.join(_docs(spark, d).select(F.col("doc_id").alias("doc"), "updated"), "doc")
-    recent = R.top_k(dated.drop("rank"), 30, "query_id", F.col("updated").desc_nulls_last(), F.col("doc"))
+    recent = dated.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("updated").desc_nulls_last(), F.col("doc"))))
     fused = R.rrf([lexical, recent], "doc").withColumn("score", F.round("score", 8))
-    return R.top_k(fused, 10, "query_id", F.col("score").desc(), F.col("doc")).select("query_id", F.col("doc").alias("doc_id"), "score", "rank")
+    return R.top_k(fused, 10, "query_id", F.col("score").desc(), F.col("doc").asc_nulls_last()).select("query_id", F.col("doc").alias("doc_id"), "score", "rank")
 
 
 def q_weighted_fusion(spark: SparkSession, d: str) -> DataFrame:

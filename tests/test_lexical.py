@@ -36,13 +36,13 @@ def both(spark, where, name):
     return [sorted(map(tuple, x), key=str) for x in (df.collect(), con.sql(core_sql.SQL[name]).select(*df.columns).fetchall())]
 
 
-@pytest.mark.parametrize("name", ["q_bm25", "q_doc_cap"])
+@pytest.mark.parametrize("name", ["q_bm25", "q_doc_cap", "q_hybrid"])
 def test_odd_rows_as_sql(spark, where, name):
     got, expected = both(spark, where, name)
     assert got == expected and len(got) > 100
 
 
-@pytest.mark.parametrize(("name", "k"), [("q_bm25", 10), ("q_doc_cap", 30)])
+@pytest.mark.parametrize(("name", "k"), [("q_bm25", 10), ("q_doc_cap", 30), ("q_hybrid", 30)])
 def test_only_the_best_leave_their_block(spark, where, monkeypatch, name, k):
     kept = []
     monkeypatch.setattr(retrieval, "top_k", lambda scored, *_: kept.append(scored) or scored.withColumn("rank", F.lit(1)))
